@@ -1,6 +1,6 @@
 """I-Match document fingerprints, in DataFrame functions only.
 
-Terms (runs of letters or digits, lower case) are kept if the share of documents
+Terms (what stands between white space and punctuation) are kept if the share of documents
 that hold them lies in a band, so neither names that one text has nor words that
 all have decide. Of what is kept, randomised subsets of the lexicon each hash the
 sorted distinct terms; the fingerprint is the list of those hashes. A subset that
@@ -13,58 +13,74 @@ to the bin's share, and stays outside the band.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS = 1 << 18
 #: Least and greatest share of documents that hold a term.
-LOW, HIGH = 0.0015, 0.08
+LOW, HIGH = 0.006, 0.04
 #: A subset keeps one term of so many; so many subsets of each.
-RATES, EACH = (1, 4, 16, 64), 12
+RATES, EACH = (16, 64, 256), 12
 SUBSETS = len(RATES) * EACH
 #: Rows that one window partition gets at least, and the most partitions there are.
 NEIGHBOURS, MOST_RANGES = 2000, 20_000
 
 
-def bins(text: Column) -> Column:
-    """The sorted distinct bins of the text's terms."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(BINS)).cast("int"))))
+def words(text: Column) -> Column:
+    """The terms of the text, with repeats; an empty one stands before or after all others."""
+    return F.split(F.coalesce(text, F.lit("")), r"[\s\p{Punct}]+")
 
 
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> list[int]:
     """The bitmap of bins in the band, counted over all documents: ``BINS / 64`` longs."""
     n = docs.count()
-    held = docs.select(F.explode(bins(F.col("text"))).alias("b")).groupBy("b").agg(F.count("*").alias("n"))
+    held = docs.select(F.explode(F.array_distinct(words(F.col("text")))).alias("w")).where("w <> ''")
+    held = held.groupBy(F.xxhash64("w").bitwiseAND(BINS - 1).cast("int").alias("b")).agg(F.count("*").alias("n"))
     kept = held.where((F.col("n") >= max(2.0, low * n)) & (F.col("n") <= max(2.0, high * n)))
-    words = kept.groupBy((F.col("b") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, b % 64)")).alias("bits")).collect()
+    found = kept.groupBy((F.col("b") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, b % 64)")).alias("bits")).collect()
     out = [0] * (BINS // 64)
-    for r in words:
+    for r in found:
         out[r["w"]] = r["bits"]
     return out
 
 
-def fingerprint(text: Column, bitmap: list[int]) -> Column:
-    """An int for each subset, null where the subset holds none of the text's terms.
+def kept_terms(text: Column, bitmap: list[int]) -> Column:
+    """Sorted hashes of the text's distinct terms in the band; of all its terms if none is in it."""
+    table = F.split(F.lit(",".join(map(str, bitmap))), ",").cast("array<bigint>")
+    every = F.array(F.transform(F.filter(words(text), lambda w: w != ""), lambda w: F.xxhash64(w)))
+    return F.sort_array(
+        F.transform(
+            every,
+            lambda all_: F.transform(
+                F.array(F.filter(all_, lambda h: F.getbit(F.get(table, F.shiftright(h, 6).bitwiseAND(BINS // 64 - 1).cast("int")), h.bitwiseAND(63).cast("int")) == 1)),
+                lambda inside: F.array_distinct(F.when(F.size(inside) > 0, inside).otherwise(all_)),
+            )[0],
+        )[0]
+    )
+
+
+def _zeros(mask: int) -> Callable[[Column], Column]:
+    return lambda h: h.bitwiseAND(F.lit(mask).cast("bigint")) == 0
+
+
+def with_fingerprint(rows: DataFrame, text: str, bitmap: list[int], name: str) -> DataFrame:
+    """Add column ``name``: an int for each subset, null where the subset holds none of the text's terms.
 
     A text without a term in the band is fingerprinted by all its terms; one
     without terms, null or empty included, has nulls only. Equal texts have equal fingerprints.
     """
-    table = F.split(F.lit(",".join(map(str, bitmap))), ",").cast("array<bigint>")
-    inside = F.filter(bins(text), lambda b: F.getbit(F.get(table, F.shiftright(b, 6)), b % 64) == 1)
-    return F.when(F.size(inside) > 0, hashes(inside)).otherwise(hashes(bins(text)))
-
-
-def hashes(terms: Column) -> Column:
-    """Hash of the terms that each subset keeps."""
-    rates = F.array(*(F.lit(r) for r in RATES for _ in range(EACH)))
-    return F.transform(
-        rates,
-        lambda rate, k: F.transform(
-            F.array(F.filter(terms, lambda b: F.pmod(F.xxhash64(b, k), rate.cast("bigint")) == 0)),
-            lambda own: F.when(F.size(own) > 0, F.pmod(F.xxhash64(own, k), F.lit(1 << 31)).cast("int")),
-        )[0],
-    )
+    own = f"__{name}"
+    rows = rows.withColumn(own, kept_terms(F.col(text), bitmap))
+    out = []
+    for rate in RATES:
+        for k in range(EACH):
+            # a subset takes the terms whose hash has zeros at its place
+            place = (5 * k + 3 * rate.bit_length()) % 57
+            terms = F.filter(own, _zeros((rate - 1) << place))
+            out.append(F.when(F.size(terms) > 0, F.xxhash64(terms, F.lit(len(out))).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")))
+    return rows.withColumn(name, F.array(*out)).drop(own)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -111,11 +127,11 @@ def compare_edits(docs: DataFrame, bitmap: list[int]) -> DataFrame:
     next; an empty table gives no row. Only ``doc_id`` and ``text`` are read.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    base = with_next(base.withColumn("fp", fingerprint(F.col("text"), bitmap)), ["text", "fp"])
+    base = with_next(with_fingerprint(base, "text", bitmap, "fp"), ["text", "fp"])
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.substring(F.col("next_text"), F.lit(1), half))
     rows = base.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "fp", "next_fp")
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fp", "next_fp", fingerprint(F.col("edited"), bitmap).alias("edited_fp"))
+    rows = with_fingerprint(rows, "edited", bitmap, "edited_fp").withColumn("edited_sha256", F.sha2("edited", 256))
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
