@@ -9,9 +9,10 @@ and a window whose anchor occurs nowhere else is settled without being sent.
 A group small enough for memory becomes a tree: the windows that share the
 anchor are named level by level (1, 2, 4 ... words, then the full depth), as in
 parallel suffix tree construction; nodes of full depth with two or more leaves are
-the repeats. Where an anchor is too frequent, its group is split by the longest prefix, the
-full window: such windows are counted by their 128-bit digest in a distributed
-aggregation instead, so no group has to fit a task.
+the repeats. Where an anchor is too frequent, its group is split by longer prefixes:
+first by the whole stretch of text whose windows share the anchor, so that copies of one
+stretch are counted and not compared, then, for one of each distinct stretch, by the full
+window's 128-bit digest. Both are distributed aggregations, so no group has to fit a task.
 """
 
 from __future__ import annotations
@@ -68,7 +69,7 @@ def _anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def _suffix_rows(docs: DataFrame, places: DataFrame, window: int, gram: int) -> DataFrame:
-    """The windows of repeated anchors: ``hot`` ones by digest, the others as text around their anchor."""
+    """The stretches of windows that share a repeated anchor, as text from the first to the last of their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,18 +77,14 @@ def _suffix_rows(docs: DataFrame, places: DataFrame, window: int, gram: int) ->
             columns = [batch.column(i).to_pylist() for i in range(5)]
             for u, u2, text, cool, hot in zip(*columns, strict=True):
                 buf, s, e = split(text)
-                h = span_hashes(buf, s, e)
-                g, at = anchors(h, window, gram)
+                g, at = anchors(span_hashes(buf, s, e), window, gram)
                 cut = np.flatnonzero(np.diff(at)) + 1  # windows of one anchor follow each other
                 begin, end = np.concatenate(([0], cut)), np.concatenate((cut, [len(at)]))
-                mine, heat = np.isin(at[begin], cool or []), np.isin(at[begin], hot or [])
                 raw = buf.tobytes()
-                for b, n in zip(begin[mine].tolist(), end[mine].tolist(), strict=True):
-                    rows.append((int(g[at[b]].view(np.int64)), 0, u, u2, b, n - b, raw[s[b] : e[n + window - 2]]))
-                if heat.any():
-                    one, two = gram_hashes(h, window).view(np.int64), gram_hashes(mix(h ^ U(0xA5A5A5A5A5A5A5A5)), window).view(np.int64)
-                    for b, n in zip(begin[heat].tolist(), end[heat].tolist(), strict=True):
-                        rows += [(int(one[i]), int(two[i]), u, u2, i, 1, None) for i in range(b, n)]
+                for wanted, heat in ((cool, False), (hot, True)):
+                    mine = np.isin(at[begin], wanted or [])
+                    for b, n in zip(begin[mine].tolist(), end[mine].tolist(), strict=True):
+                        rows.append((int(g[at[b]].view(np.int64)), heat, u, u2, b, n - b, raw[s[b] : e[n + window - 2]]))
                 if len(rows) > 20_000:
                     yield batch_of(rows)
                     rows = []
@@ -95,14 +92,35 @@ def _suffix_rows(docs: DataFrame, places: DataFrame, window: int, gram: int) ->
                 yield batch_of(rows)
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["g", "g2", "u", "u2", "p", "n", "words"])
+        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["g", "hot", "u", "u2", "p", "n", "words"])
 
     joined = _key(docs).join(places, "u").select("u", "u2", "text", "cool", "hot")
-    return joined.mapInArrow(run, "g long, g2 long, u long, u2 long, p int, n int, words binary")
+    return joined.mapInArrow(run, "g long, hot boolean, u long, u2 long, p int, n int, words binary")
 
 
-def repeated(groups: np.ndarray, owners: np.ndarray, words: list[bytes], counts: np.ndarray, window: int) -> np.ndarray:
+def _hot_rows(suffixes: DataFrame, window: int) -> DataFrame:
+    """Repeated windows below anchors that are too frequent for a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for d, times, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                buf = np.frombuffer(words, np.uint8)
+                h = span_hashes(buf, *word_spans(buf))
+                one, two = gram_hashes(h, window).view(np.int64), gram_hashes(mix(h ^ U(0xA5A5A5A5A5A5A5A5)), window).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([d] * len(one), pa.binary()), pa.array(np.full(len(one), times)), pa.array(np.arange(len(one), dtype=np.int32)), pa.array(one), pa.array(two)], names=["d", "times", "i", "one", "two"])
+
+    rows = suffixes.where("hot").withColumn("d", F.unhex(F.md5("words")))
+    kinds = rows.groupBy("d").agg(F.count("*").alias("times"), F.first("words").alias("words"))
+    several = rows.join(kinds.where(F.col("times") > 1).select("d"), "d").select("u", "u2", "p", "n")
+    each = kinds.select("d", "times", "words").mapInArrow(run, "d binary, times long, i int, one long, two long")
+    twice = each.groupBy("one", "two").agg(F.sum("times").alias("places")).where(F.col("places") > 1).select("one", "two")
+    lone = each.where(F.col("times") == 1).join(twice, ["one", "two"]).select("d", "i")
+    found = rows.select("d", "u", "u2", "p").join(lone, "d")
+    return several.unionByName(found.select("u", "u2", (F.col("p") + F.col("i")).alias("p"), F.lit(1).alias("n")))
+
+
+def repeated(groups: np.ndarray, words: list[bytes], counts: np.ndarray, window: int) -> np.ndarray:
     """Of the windows that begin at the first ``counts[i]`` words of ``words[i]``: which also begin elsewhere in their group.
 
     Builds the trees of all groups at once. A name stands for a node: level by
@@ -113,7 +131,6 @@ def repeated(groups: np.ndarray, owners: np.ndarray, words: list[bytes], counts:
     per = counts + window - 1
     first = np.cumsum(per) - per
     row = np.repeat(np.arange(len(words)), per)
-    del owners
     name = np.unique(span_hashes(buf, s, e), return_inverse=True)[1]
     group = np.unique(groups, return_inverse=True)[1]
     n, levels, size = len(name), {1: name}, 1
@@ -161,7 +178,7 @@ def _tree_rows(suffixes: DataFrame, parts: int, window: int) -> DataFrame:
 
     def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
         g, u, u2, p, n = (table.column(i).to_numpy() for i in range(5))
-        hit = repeated(g, u, table.column(5).to_pylist(), n.astype(np.int64), window)
+        hit = repeated(g, table.column(5).to_pylist(), n.astype(np.int64), window)
         if not hit.any():
             return
         row = np.repeat(np.arange(len(n)), n)[hit]
@@ -171,7 +188,7 @@ def _tree_rows(suffixes: DataFrame, parts: int, window: int) -> DataFrame:
         run_n = np.diff(np.concatenate((begin, [len(at)])))
         yield pa.RecordBatch.from_arrays([pa.array(u[row[begin]]), pa.array(u2[row[begin]]), pa.array(at[begin].astype(np.int32)), pa.array(run_n.astype(np.int32))], names=["u", "u2", "p", "n"])
 
-    rows = suffixes.where(F.col("words").isNotNull()).select("g", "u", "u2", "p", "n", "words")
+    rows = suffixes.where("not hot").select("g", "u", "u2", "p", "n", "words")
     return rows.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(run, "u long, u2 long, p int, n int")
 
 
@@ -191,10 +208,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
     common.remove(spark, places)
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     trees = _tree_rows(suffixes, parts, window)
-    single = suffixes.where(F.col("words").isNull()).select("g", "g2", "u", "u2", "p", "n")
-    twice = single.groupBy("g", "g2").agg(F.count("*").alias("times")).where(F.col("times") > 1).select("g", "g2")
-    hots = single.join(twice, ["g", "g2"]).select("u", "u2", "p", "n")
-    spans = common.saved(trees.unionByName(hots).groupBy("u", "u2").agg(F.collect_set(F.struct("p", "n")).alias("spans")), "spans")
+    spans = common.saved(trees.unionByName(_hot_rows(suffixes, window)).groupBy("u", "u2").agg(F.collect_set(F.struct("p", "n")).alias("spans")), "spans")
     common.remove(spark, suffixes)
     return spans
 
