@@ -36,6 +36,8 @@ HASHES = BANDS * ROWS
 STEP, TOLERANCE = 16, 1e-6
 #: Nodes of a bucket or component that one task compares with each other or with as many others.
 BUCKET_BLOCK, BLOCK = 4096, 1024
+#: Most nodes with a candidate that are sent to every executor to pick their texts.
+BROADCAST_NODES = 500_000
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=U)) | U(1)
 
 
@@ -263,7 +265,10 @@ def _verified(docs: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame
     members = labels.join(sizes, "label").join(nodes.select("node", "n"), "node")
     keys = F.xxhash64("label")
     members = members.select("node", "n", keys.alias("key"), F.explode(_blocks(F.col("size"), F.col("node"), BLOCK)).alias("s"))
-    texts = docs.select(node_key(), "text").join(labels.select("node"), "node").groupBy("node").agg(F.first("text").alias("text"))
+    wanted = labels.select("node")
+    if wanted.count() <= BROADCAST_NODES:  # 16 bytes each; beyond, both sides are dealt by node
+        wanted = F.broadcast(wanted)
+    texts = docs.select(node_key(), "text").join(wanted, "node").groupBy("node").agg(F.first("text").alias("text"))
     rows = members.join(texts, "node").select("key", "s.low", "s.high", "s.own", "node", "n", "text")
     return rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(run, "node binary, links long, root binary")
 
