@@ -47,28 +47,54 @@ def anchors(words: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.n
     return g, sliding_argmin(g, window - gram + 1)
 
 
-def _key(docs: DataFrame) -> DataFrame:
-    """Rows that agree in id and text share a key and a result; each still counts as a place."""
-    return docs.select(F.xxhash64("doc_id", "text").alias("u"), F.xxhash64("text", "doc_id", F.lit(1)).alias("u2"), "text")
+#: Copied texts, of 16 bytes each, up to which they are sent to all executors.
+BROADCAST_COPIES = 500_000
 
 
-def _anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
+def _with_key(docs: DataFrame) -> DataFrame:
+    """Rows of equal text share a key and a result."""
+    return docs.withColumns({"u": F.xxhash64("text"), "u2": F.xxhash64("text", F.lit(1))})
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """``u, u2, rep`` of the texts that more than one row has; all their windows are repeated."""
+    return _with_key(docs).groupBy("u", "u2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where(F.col("n") > 1).select("u", "u2", "rep")
+
+
+def one_each(docs: DataFrame, copied: DataFrame) -> DataFrame:
+    """``u, u2, text``: one row of each copied text, as others may share passages with it, and all other rows."""
+    side = F.broadcast(copied) if copied.count() <= BROADCAST_COPIES else copied
+    rows = _with_key(docs).join(side.withColumn("many", F.lit(True)), ["u", "u2"], "left")
+    return rows.where(F.col("many").isNull() | F.col("doc_id").eqNullSafe(F.col("rep"))).select("u", "u2", "text")
+
+
+def stretches(words: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows whose anchors are equal: the anchor, first window, how many windows, and how many places the anchor has in them."""
+    g, at = anchors(words, window, gram)
+    if not len(at):
+        return (np.zeros(0, np.int64),) * 4
+    cut = np.flatnonzero(g[at[1:]] != g[at[:-1]]) + 1
+    begin, end = np.concatenate(([0], cut)), np.concatenate((cut, [len(at)]))
+    moved = np.concatenate(([0], np.cumsum(at[1:] != at[:-1])))
+    return g[at[begin]].view(np.int64), begin, end - begin, moved[end - 1] - moved[begin] + 1
+
+
+def _anchor_rows(rows: DataFrame, window: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            us, places, grams = [], [], []
+            out = []
             for u, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 buf, s, e = split(text)
                 if len(s) >= window:
-                    g, at = anchors(span_hashes(buf, s, e), window, gram)
-                    own = np.unique(at)
-                    us.append(np.full(len(own), u, np.int64)), places.append(own.astype(np.int32)), grams.append(g[own].view(np.int64))
-            if us:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (grams, us, places)], names=["g", "u", "p"])
+                    g, begin, _, places = stretches(span_hashes(buf, s, e), window, gram)
+                    out.append((g, np.full(len(g), u, np.int64), begin.astype(np.int32), places.astype(np.int32)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["g", "u", "p", "w"])
 
-    return _key(docs).mapInArrow(run, "g long, u long, p int")
+    return rows.mapInArrow(run, "g long, u long, p int, w int")
 
 
-def _suffix_rows(docs: DataFrame, places: DataFrame, window: int, gram: int) -> DataFrame:
+def _suffix_rows(texts: DataFrame, places: DataFrame, window: int, gram: int) -> DataFrame:
     """The stretches of windows that share a repeated anchor, as text from the first to the last of their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,14 +103,12 @@ def _suffix_rows(docs: DataFrame, places: DataFrame, window: int, gram: int) ->
             columns = [batch.column(i).to_pylist() for i in range(5)]
             for u, u2, text, cool, hot in zip(*columns, strict=True):
                 buf, s, e = split(text)
-                g, at = anchors(span_hashes(buf, s, e), window, gram)
-                cut = np.flatnonzero(np.diff(at)) + 1  # windows of one anchor follow each other
-                begin, end = np.concatenate(([0], cut)), np.concatenate((cut, [len(at)]))
+                g, begin, many, _ = stretches(span_hashes(buf, s, e), window, gram)
                 raw = buf.tobytes()
                 for wanted, heat in ((cool, False), (hot, True)):
-                    mine = np.isin(at[begin], wanted or [])
-                    for b, n in zip(begin[mine].tolist(), end[mine].tolist(), strict=True):
-                        rows.append((int(g[at[b]].view(np.int64)), heat, u, u2, b, n - b, raw[s[b] : e[n + window - 2]]))
+                    mine = np.isin(begin, wanted or [])
+                    for k, b, n in zip(g[mine].tolist(), begin[mine].tolist(), many[mine].tolist(), strict=True):
+                        rows.append((k, heat, u, u2, b, n, raw[s[b] : e[b + n + window - 2]]))
                 if len(rows) > 20_000:
                     yield batch_of(rows)
                     rows = []
@@ -95,29 +119,41 @@ def _suffix_rows(docs: DataFrame, places: DataFrame, window: int, gram: int) ->
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["g", "hot", "u", "u2", "p", "n", "words"])
 
-    joined = _key(docs).join(places, "u").select("u", "u2", "text", "cool", "hot")
+    joined = texts.join(places, "u").select("u", "u2", "text", "cool", "hot")
     return joined.mapInArrow(run, "g long, hot boolean, u long, u2 long, p int, n int, words binary")
 
 
 def _hot_rows(suffixes: DataFrame, window: int) -> DataFrame:
     """Repeated windows below anchors that are too frequent for a task."""
+    span = "struct<p:int,n:int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("p", pa.int32()), ("n", pa.int32())]))
         for batch in batches:
             for d, times, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 buf = np.frombuffer(words, np.uint8)
                 h = span_hashes(buf, *word_spans(buf))
-                one, two = gram_hashes(h, window).view(np.int64), gram_hashes(mix(h ^ U(0xA5A5A5A5A5A5A5A5)), window).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([d] * len(one), pa.binary()), pa.array(np.full(len(one), times)), pa.array(np.arange(len(one), dtype=np.int32)), pa.array(one), pa.array(two)], names=["d", "times", "i", "one", "two"])
+                both = np.stack([gram_hashes(h, window).view(np.int64), gram_hashes(mix(h ^ U(0xA5A5A5A5A5A5A5A5)), window).view(np.int64)], axis=1)
+                own, which = np.unique(both, axis=0, return_inverse=True)
+                which = which.ravel()
+                spans: list[list] = [[] for _ in own]
+                cut = np.flatnonzero(np.diff(which)) + 1  # a window that repeats itself at once is one span
+                for b, e in zip([0, *cut.tolist()], [*cut.tolist(), len(which)], strict=True):
+                    spans[which[b]].append({"p": b, "n": e - b})
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([d] * len(own), pa.binary()), pa.array(np.full(len(own), times)), pa.array(times * np.bincount(which)), pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array(spans, kind)],
+                    names=["d", "times", "places", "one", "two", "at"],
+                )
 
     rows = suffixes.where("hot").withColumn("d", F.unhex(F.md5("words")))
     kinds = rows.groupBy("d").agg(F.count("*").alias("times"), F.first("words").alias("words"))
-    several = rows.join(kinds.where(F.col("times") > 1).select("d"), "d").select("u", "u2", "p", "n")
-    each = kinds.select("d", "times", "words").mapInArrow(run, "d binary, times long, i int, one long, two long")
-    twice = each.groupBy("one", "two").agg(F.sum("times").alias("places")).where(F.col("places") > 1).select("one", "two")
-    lone = each.where(F.col("times") == 1).join(twice, ["one", "two"]).select("d", "i")
+    several = rows.join(kinds.where(F.col("times") > 1).select("d"), "d").select("u", "u2", F.array(F.struct("p", "n")).alias("spans"))
+    each = kinds.select("d", "times", "words").mapInArrow(run, f"d binary, times long, places long, one long, two long, at array<{span}>")
+    twice = each.groupBy("one", "two").agg(F.sum("places").alias("places")).where(F.col("places") > 1).select("one", "two")
+    lone = each.where(F.col("times") == 1).join(twice, ["one", "two"]).groupBy("d").agg(F.flatten(F.collect_list("at")).alias("at"))
     found = rows.select("d", "u", "u2", "p").join(lone, "d")
-    return several.unionByName(found.select("u", "u2", (F.col("p") + F.col("i")).alias("p"), F.lit(1).alias("n")))
+    moved = F.transform("at", lambda x: F.struct((x["p"] + F.col("p")).alias("p"), x["n"].alias("n")))
+    return several.unionByName(found.select("u", "u2", moved.alias("spans")))
 
 
 def repeated(groups: np.ndarray, words: list[bytes], counts: np.ndarray, window: int) -> np.ndarray:
@@ -193,29 +229,35 @@ def _tree_rows(suffixes: DataFrame, parts: int, window: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """``u, u2, spans``: for each row's key, the stretches of repeated windows (first window, how many)."""
+    """``u, u2, spans, copied``: for each text's key, the stretches of repeated windows (first window, how many), and whether all are."""
     spark = docs.sparkSession
     common.small_batches(spark)
-    every = common.saved(_anchor_rows(docs, window, gram), "anchors")
-    again = every.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    copied = common.saved(copies(docs), "copies")
+    texts = one_each(docs, copied)
+    every = common.saved(_anchor_rows(texts, window, gram), "anchors")
+    again = every.groupBy("g").agg(F.sum("w").alias("places")).where(F.col("places") > 1)
     kept = every.join(again, "g")
     places = common.saved(
         kept.groupBy("u").agg(
-            F.collect_set(F.when(F.col("n") < hot, F.col("p"))).alias("cool"), F.collect_set(F.when(F.col("n") >= hot, F.col("p"))).alias("hot")
+            F.collect_set(F.when(F.col("places") < hot, F.col("p"))).alias("cool"), F.collect_set(F.when(F.col("places") >= hot, F.col("p"))).alias("hot")
         ), "places")
     common.remove(spark, every)
-    suffixes = common.saved(_suffix_rows(docs, places, window, gram), "suffixes")
+    suffixes = common.saved(_suffix_rows(texts, places, window, gram), "suffixes")
     common.remove(spark, places)
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    trees = _tree_rows(suffixes, parts, window)
-    spans = common.saved(trees.unionByName(_hot_rows(suffixes, window)).groupBy("u", "u2").agg(F.collect_set(F.struct("p", "n")).alias("spans")), "spans")
+    trees = _tree_rows(suffixes, parts, window).select("u", "u2", F.array(F.struct("p", "n")).alias("spans"))
+    found = trees.unionByName(_hot_rows(suffixes, window)).groupBy("u", "u2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    found = found.join(copied.select("u", "u2", F.lit(True).alias("copied")), ["u", "u2"], "full")
+    spans = common.saved(found, "spans")
     common.remove(spark, suffixes)
     return spans
 
 
-def kept_words(text: str | None, spans: list | None, window: int) -> tuple[int, int, bytes]:
+def kept_words(text: str | None, spans: list | None, copied: bool | None, window: int) -> tuple[int, int, bytes]:
     """Words, removed words, and the others joined by one space."""
     buf, s, e = split(text)
+    if copied and len(s) >= window:
+        return len(s), len(s), b""
     if not spans:
         raw = buf.tobytes()
         return len(s), 0, b" ".join(raw.split()) if len(s) else b""
@@ -238,13 +280,13 @@ def deduplicate(docs: DataFrame, keep: list[str] | None = None, window: int = WI
     """
     added = {"n_words": "long", "n_removed": "long", "kept_sha256": "string"} | ({"kept_text": "string"} if texts else {})
     names = [c for c in (keep or docs.columns) if c not in added]
-    spans = repeats(docs.select("doc_id", "text"), window).select(F.col("u").alias("__u"), F.col("u2").alias("__u2"), F.col("spans").alias("__spans"))
-    rows = docs.select(*dict.fromkeys([*names, "doc_id", "text"])).withColumns({"__u": F.xxhash64("doc_id", "text"), "__u2": F.xxhash64("text", "doc_id", F.lit(1))})
-    rows = rows.join(spans, ["__u", "__u2"], "left").select(*names, F.col("text").alias("__text"), "__spans")
+    spans = repeats(docs.select("doc_id", "text"), window).select(F.col("u").alias("__u"), F.col("u2").alias("__u2"), F.col("spans").alias("__spans"), F.col("copied").alias("__copied"))
+    rows = docs.select(*dict.fromkeys([*names, "doc_id", "text"])).withColumns({"__u": F.xxhash64("text"), "__u2": F.xxhash64("text", F.lit(1))})
+    rows = rows.join(spans, ["__u", "__u2"], "left").select(*names, F.col("text").alias("__text"), "__spans", "__copied")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [kept_words(t, x, window) for t, x in zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True)]
+            got = [kept_words(*row, window) for row in zip(*(batch.column(len(names) + k).to_pylist() for k in range(3)), strict=True)]
             out = [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([hashlib.sha256(g[2]).hexdigest() for g in got], pa.string())]
             if texts:
                 out.append(pa.array([g[2].decode("utf-8") for g in got], pa.string()))
