@@ -36,7 +36,8 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 def suffix_automaton(codes: list[int], width: int) -> np.ndarray:
     """The automaton of all factors of ``codes`` as a parsing table, ``state * width + code``.
 
-    Even bits: the next state doubled; lowest bit: a phrase ended before this character.
+    Upper bits: the next state; lowest bit: a phrase begins with this character.
+    The last state stands before the text and after a character that the automaton lacks.
     """
     step: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
@@ -63,8 +64,8 @@ def suffix_automaton(codes: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    table = np.empty((len(step), width), dtype=np.int32)
-    root = np.array([step[0].get(c, 0) for c in range(width)], dtype=np.int32)
+    table = np.empty((len(step) + 1, width), dtype=np.int32)
+    root = np.array([step[0].get(c, len(step)) for c in range(width)], dtype=np.int32)
     table[:] = root * 2 + 1
     for s, to in enumerate(step):
         for c, t in to.items():
@@ -85,8 +86,9 @@ class Parser:
             self.code[ord(ch)] = i + 1
         tables = [suffix_automaton(self.code[self.points(plain[k])].tolist(), self.width) for k in self.langs]
         at = np.cumsum([0] + [len(t) for t in tables])
-        self.base = (at[:-1] // self.width).astype(np.int32)[:, None]
-        self.table = np.concatenate([t + 2 * b for t, b in zip(tables, self.base.ravel(), strict=True)]) if tables else np.zeros(0, np.int32)
+        base = (at[:-1] // self.width).astype(np.int32)
+        self.before = (at[1:] // self.width - 1).astype(np.int32)[:, None]
+        self.table = np.concatenate([t + 2 * b for t, b in zip(tables, base, strict=True)]) if tables else np.zeros(0, np.int32)
 
     @staticmethod
     def plain(text: str) -> str:
@@ -118,8 +120,8 @@ class Parser:
         for col, k in enumerate(order):
             grid[: size[col], col] = pieces[k]
         live = np.searchsorted(-size, -np.arange(len(grid)), side="left")
-        state = np.repeat(self.base, len(pieces), axis=1)
-        found = np.ones(state.shape, dtype=np.int32)  # the last phrase ends with the piece
+        state = np.repeat(self.before, len(pieces), axis=1)
+        found = np.zeros(state.shape, dtype=np.int32)
         for row, n in zip(grid, live, strict=True):
             got = self.table[state[:, :n] * self.width + row[:n]]
             found[:, :n] += got & 1
