@@ -22,7 +22,8 @@ def with_reason(blocks: DataFrame, options: Options = Options(), order: str = "s
     """
     o = options
     t, label, key = F.col("t"), F.col("norm_label"), F.col("furniture_key")
-    rows = blocks.repartition("doc_id").withColumn("t", T.normalize(F.col("text"), o.strict_compat)).withColumn("norm_label", T.normalize_label(F.col("label")))
+    rows = blocks.withColumn("t", T.normalize(F.col("text"), o.strict_compat)).withColumn("norm_label", T.normalize_label(F.col("label")))
+    rows = rows.repartition("doc_id")  # after the Python step, which forgets how its input was dealt
     rows = rows.withColumn("furniture_key", F.when((t != "") & (F.length(R.fold_case(t)) <= FURNITURE_CHARS), R.fold_case(t)))
     rows = rows.withColumn("times", F.count(key).over(Window.partitionBy("doc_id", "furniture_key")))
     heading = label.isin("title", "section_header")
