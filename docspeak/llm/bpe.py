@@ -3,7 +3,9 @@
 A text is cut into words by the tokenizer's pattern; a word that isn't a token
 itself becomes rows (word, position, token), first one a byte. Each step of the
 recursive query joins neighbouring rows to the merge table, takes every word's
-leftmost pair of least rank, and contracts it; words without a pair drop out.
+leftmost pair of least rank, and contracts it; words without a pair drop out. What
+a query holds is bounded: words are grouped by the states that they can make, and a
+long word goes through several queries, whose steps contract many places at once.
 Decoding joins the ids to the vocabulary and puts the bytes together by an
 ordered aggregation. A word seen before in the worker is looked up, in a cache
 of bounded size that is emptied when full; the result doesn't depend on it.
@@ -23,8 +25,10 @@ from pyspark.sql import DataFrame
 
 from . import common
 
-#: Rows of a recursive query, and words and pieces kept between texts.
+#: Words of a query, and words and pieces kept between texts.
 QUERY_WORDS, KEPT_WORDS, KEPT_PIECES = 100_000, 600_000, 150_000
+#: Bytes from which a word is long, and states that the steps of one recursive query may make.
+LONG_BYTES, QUERY_STATES = 400, 4_000_000
 _DOUBLE_SPACE = re.compile(r"\s\s")
 
 #: Every state that a word passes through; the last step of each word is its coding.
@@ -55,6 +59,37 @@ select c.w, c.tok from coded c
 join (select w, max(step) as step from coded group by w) last on c.w = last.w and c.step = last.step
 order by c.w, c.pos
 """
+#: A long word's step contracts at once what single steps would: its pair of least rank, from
+#: left to right, up to the first place where the new token makes a pair of a lesser rank.
+#: It stops after a number of steps, and goes on from there in another query.
+ENCODE_LONG = """
+create or replace temp table coded as
+with recursive state as (
+  select w, pos, tok, 0 as step from bytes_in
+  union all
+  (with placed as (
+     select *, row_number() over x as i, lag(tok) over x as before, lead(tok) over x as after, lead(tok, 2) over x as then_tok
+     from state where step < {steps} window x as (partition by w order by pos)),
+   pairs as (select p.*, m.merged from placed p join merges m on m.pair = p.tok::bigint * 1048576 + p.after),
+   least as (select w, min(merged) as merged from pairs group by w),
+   hits as (
+     select p.*, i - row_number() over (partition by w order by i) as run
+     from pairs p join least using (w, merged)),
+   apart as (select * from hits qualify row_number() over (partition by w, run order by i) % 2 = 1),
+   sides as (select *, case when lag(i) over (partition by w order by i) = i - 2 then merged else before end as left_tok from apart),
+   lesser as (
+     select s.w, min(s.i) as i from sides s
+     left join merges a on a.pair = s.left_tok::bigint * 1048576 + s.merged
+     left join merges b on b.pair = s.merged::bigint * 1048576 + s.then_tok
+     where a.merged < s.merged or b.merged < s.merged group by s.w),
+   cut as (select s.w, s.i, s.merged from sides s left join lesser l on l.w = s.w where l.i is null or s.i <= l.i)
+   select p.w, p.pos, coalesce(c.merged, p.tok), p.step + 1
+   from placed p join least using (w) left join cut c on c.w = p.w and c.i = p.i left join cut g on g.w = p.w and g.i = p.i - 1
+   where g.i is null)
+)
+select w, pos, tok, step from state
+"""
+LAST = "select c.w, c.pos, c.tok, c.step from coded c join (select w, max(step) as step from coded group by w) last on c.w = last.w and c.step = last.step order by c.w, c.pos"
 #: A byte is written as the character of that number, so the text's Latin-1 bytes are the result.
 DECODE = """
 select string_agg(v.piece, '' order by i.pos) as piece
@@ -97,27 +132,54 @@ class Codec:
         """Ids of all words one after the other, and how many each has (words are matches of the pattern; none is empty)."""
         rank = np.fromiter((self.ranks.get(w, -1) for w in words), np.int32, len(words))
         counts = np.ones(len(words), dtype=np.int64)
-        todo = np.flatnonzero(rank < 0)
-        found = []
-        for k in range(0, len(todo), QUERY_WORDS):
-            part = todo[k : k + QUERY_WORDS]
-            own = [words[i] for i in part]
-            size = np.fromiter(map(len, own), np.int64, len(own))
-            data = np.frombuffer(b"".join(own), np.uint8)
-            pos = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)
-            rows = pa.table({"w": np.repeat(np.arange(len(own), dtype=np.int32), size), "pos": pos.astype(np.int32), "tok": self.byte[data]})
-            self.db.register("bytes_in", rows)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        todo = np.flatnonzero((rank < 0) & (size <= LONG_BYTES))
+        found: dict[int, np.ndarray] = {}
+        for k in np.flatnonzero((rank < 0) & (size > LONG_BYTES)).tolist():
+            found[k] = self._encode_long(words[k])
+            counts[k] = len(found[k])
+        # a word of n bytes goes through at most n states of at most n rows
+        states = np.cumsum(size[todo] * (size[todo] + 1) // 2)
+        begin = 0
+        while begin < len(todo):
+            before = states[begin - 1] if begin else 0
+            end = min(begin + QUERY_WORDS, max(begin + 1, int(np.searchsorted(states, before + QUERY_STATES, side="right"))))
+            part = todo[begin:end]
+            self._put("bytes_in", np.repeat(np.arange(len(part), dtype=np.int32), size[part]), b"".join([words[i] for i in part]), size[part])
             self.db.execute(ENCODE)
             self.db.unregister("bytes_in")
             got = self.db.execute(CODED).fetchnumpy()
-            counts[part] = np.bincount(got["w"], minlength=len(own))
-            found.append(np.asarray(got["tok"], np.int32))
+            own = np.bincount(got["w"], minlength=len(part))
+            counts[part] = own
+            tok = np.asarray(got["tok"], np.int32)
+            for i, ids in zip(part.tolist(), np.split(tok, np.cumsum(own)[:-1]), strict=True):
+                found[i] = ids
+            begin = end
         flat = np.empty(int(counts.sum()), np.int32)
         direct = np.repeat(rank >= 0, counts)
         flat[direct] = rank[rank >= 0]
-        flat[~direct] = np.concatenate(found) if found else 0
+        flat[~direct] = np.concatenate([found[i] for i in np.flatnonzero(rank < 0).tolist()]) if found else 0
         return flat, counts
 
+    def _put(self, name: str, w: np.ndarray, data: bytes, size: np.ndarray) -> None:
+        """Register the bytes of words as rows of first tokens."""
+        pos = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)
+        self.db.register(name, pa.table({"w": w, "pos": pos.astype(np.int32), "tok": self.byte[np.frombuffer(data, np.uint8)]}))
+
+    def _encode_long(self, word: bytes) -> np.ndarray:
+        """Ids of one long word, by recursive queries of a bounded number of states each."""
+        self._put("bytes_in", np.zeros(len(word), np.int32), word, np.array([len(word)]))
+        left = len(word)
+        while True:
+            steps = max(1, QUERY_STATES // left)
+            self.db.execute(ENCODE_LONG.format(steps=steps))
+            self.db.unregister("bytes_in")
+            got = self.db.execute(LAST).fetchnumpy()
+            if got["step"][0] < steps:
+                return np.asarray(got["tok"], np.int32)
+            left = len(got["tok"])
+            self.db.register("bytes_in", pa.table({k: np.asarray(got[k], np.int32) for k in ("w", "pos", "tok")}))
+
     def decode_runs(self, flat: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """The bytes of each run of ids; ``flat`` holds the runs one after the other."""
         ends = np.cumsum(counts)
