@@ -60,6 +60,22 @@ def test_bpe(odd, empty):
     assert bpe.round_trip(empty, ranks, P.PATTERN).count() == 0
 
 
+def test_bpe_long_words(monkeypatch):
+    """Words of any length, and the batched steps against single ones."""
+    ranks = bpe.read_ranks(P.path(queries.RANKS))
+    codec = bpe.Codec(ranks, P.PATTERN)
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    r = random.Random(3)
+    texts = ["a" * 20_000, "".join(r.choice("etaoinshr") for _ in range(5_000)), "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(300)), " " * 3_000 + "x"]
+    short = ["".join(r.choice("theinga"[: r.randrange(2, 8)]) for _ in range(r.randrange(2, 200))) for _ in range(40)]
+    for t in texts:
+        got = codec.codes([t])[0]
+        assert " ".join(c[0] for c in got) == " ".join(map(str, enc.encode_ordinary(t))) and b"".join(c[1] for c in got) == t.encode()
+    monkeypatch.setattr(bpe, "LONG_BYTES", 1)
+    monkeypatch.setattr(bpe, "QUERY_STATES", 1_000)
+    assert [codec.encode_words([t.encode()])[0].tolist() for t in short] == [enc.encode_ordinary(t) for t in short]
+
+
 def held_out(spark, name, column):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     rows = queries.QUERIES[name](spark, SF).where("held_out").join(labels, "doc_id").collect()
@@ -192,6 +208,23 @@ def test_ngram_join(spark, odd, empty):
     assert ngram_join.join(empty).count() == 0
 
 
+def test_pipeline_stages(spark, odd, empty):
+    """Near duplicates and passages on odd rows: one row of each group, rows without id stay, texts without repeats are unchanged."""
+    import corpus_pipeline as pipeline
+
+    shared = " ".join(words(50, 1))
+    kept = pipeline.near_duplicate_stage(spark, odd, SF)
+    assert kept.columns == odd.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert sorted(i for i in ids if i is not None) == [0, 2, 3, 4, 5, 7, 8, 10] and ids.count(None) == 1
+    left = {r["doc_id"]: r["text"] for r in pipeline.passage_stage(spark, odd.where("doc_id in (3, 4, 6, 7)"), SF).collect()}
+    texts = {r["doc_id"]: r["text"] for r in odd.collect()}
+    assert left == {i: texts[i] for i in (3, 4, 6, 7)}
+    two = spark.createDataFrame([(1, shared, None, None, 0, 0.0, ""), (2, "x " + shared + " y", None, None, 0, 0.0, "")], SCHEMA)
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in pipeline.passage_stage(spark, two, SF).collect()} == {1: ("", 0), 2: ("x y", 3)}
+    assert pipeline.near_duplicate_stage(spark, empty, SF).count() == pipeline.passage_stage(spark, empty, SF).count() == 0
+
+
 def test_imatch(spark, odd):
     rows = [(i, " ".join(words(60, i))) for i in range(40)]
     df = spark.createDataFrame([*rows, (40, None), (41, "")], "doc_id long, text string")
