@@ -23,9 +23,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the least id."""
+    """One document of each group of near duplicates: that of the least id. Rows without id stay: no id stands for them."""
     kept = ngram_join.join(docs).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(docs.columns)
+    return docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
