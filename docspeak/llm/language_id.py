@@ -2,8 +2,9 @@
 
 A suffix automaton over labelled text of each language tells how far a text can
 be read as one phrase of that language's text. A text is parsed greedily into
-longest matches against every language; the language that needs the fewest
-phrases a character wins.
+longest matches against every language; the language in which its phrases cost
+least wins. A phrase costs the logarithm of what it could be, a place in the
+language's text or a single sign, so languages with little text compare with others.
 
 The automaton is run as a table: for each state and character it holds the next
 state, or, where the match ends, the state after restarting at the root together
@@ -88,6 +89,9 @@ class Parser:
         at = np.cumsum([0] + [len(t) for t in tables])
         base = (at[:-1] // self.width).astype(np.int32)
         self.before = (at[1:] // self.width - 1).astype(np.int32)[:, None]
+        cost = np.log([len(plain[k]) + self.width + 1.0 for k in self.langs])
+        #: Cost of a phrase in each language; 1 in that of the longest text.
+        self.cost = (cost / cost.max(initial=1.0))[:, None]
         self.table = np.concatenate([t + 2 * b for t, b in zip(tables, base, strict=True)]) if tables else np.zeros(0, np.int32)
 
     @staticmethod
@@ -141,17 +145,18 @@ class Parser:
         if not self.langs or not use:
             return names, scores
         counts, chars = self.phrases([texts[i] for i in use])
-        rate = counts / np.maximum(chars, 1)
+        cost = counts * self.cost
+        rate = cost / np.maximum(chars, 1)
         best = rate.argmin(axis=0)  # ties: the first language in order
         for k, i in enumerate(use):
-            # phrases saved against each other language, as odds
-            odds = sum(math.exp(-min(50.0, float(counts[j, k] - counts[best[k], k]))) for j in range(len(self.langs)))
+            # phrases' cost saved against each other language, as odds
+            odds = sum(math.exp(-min(50.0, float(cost[j, k] - cost[best[k], k]))) for j in range(len(self.langs)))
             names[i], scores[i] = self.langs[best[k]], 1.0 / odds
         return names, scores
 
 
 def fit(docs: DataFrame, folds: int = FOLDS, held: int = HELD) -> dict[str, str]:
-    """Labelled text of each language, of equal length, from at most ``FIT_ROWS`` rows outside the held-out fold."""
+    """Up to ``FIT_CHARS`` of labelled text of each language, from at most ``FIT_ROWS`` rows outside the held-out fold."""
     spark = docs.sparkSession
     first = Window.partitionBy("lang").orderBy("k", "doc_id")
     ids = (
@@ -168,9 +173,6 @@ def fit(docs: DataFrame, folds: int = FOLDS, held: int = HELD) -> dict[str, str]
         own = sorted((r["n"], r["text"]) for r in rows if r["lang"] == k)
         if text := Parser.plain(" ".join(t for _, t in own))[:FIT_CHARS]:
             texts[k] = text
-    if texts:
-        least = max(1, min(map(len, texts.values())))
-        texts = {k: v[:least] for k, v in texts.items()}
     return texts
 
 

@@ -105,6 +105,19 @@ def test_language(spark, odd, empty):
     assert language_id.identify(empty, language_id.fit(empty)).count() == 0
 
 
+def test_language_with_little_text(spark):
+    """One row of a stray language leaves the other languages their text, and doesn't win their documents."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text")
+    stray = spark.createDataFrame([(10**9 + k, "aa", "this is a text of thirty chars") for k in range(8)], docs.schema.simpleString()[7:-1].replace(":", " "))
+    texts = language_id.fit(docs.unionByName(stray.where("crc32(string(doc_id)) % 4 <> 2").limit(1)))
+    assert len(texts["aa"]) == 30 and all(len(v) == language_id.FIT_CHARS for k, v in texts.items() if k != "aa")
+    rows = docs.where("lang is not null and length(text) > 200 and crc32(string(doc_id)) % 4 = 2").collect()
+    got = language_id.Parser(texts).predict([r["text"][:120] for r in rows])[0]
+    assert np.mean([g == r["lang"] for g, r in zip(got, rows, strict=True)]) >= 0.95
+    short = language_id.Parser({k: v[:500] if k == "de" else v for k, v in texts.items() if k != "aa"})
+    assert np.mean([g == r["lang"] for g, r in zip(short.predict([r["text"] for r in rows])[0], rows, strict=True)]) >= 0.95
+
+
 def test_phrases_by_brute_force():
     text = "abracadabra banana band"
     parser = language_id.Parser({"a": "banana bandana", "b": "abracadabra"})
