@@ -36,8 +36,8 @@ def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document is packed."""
-    return packing.pack(docs, F.xxhash64(F.lower("text")))
+    """Where each piece of each document is packed; what the stages before left of near copies shares a cluster."""
+    return packing.pack_apart(docs)
 
 
 STAGES = [

@@ -175,9 +175,9 @@ def nodes_of(docs: DataFrame) -> DataFrame:
     return signed.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
 
 
-def node_key() -> Column:
+def node_key(text: Column | str = "text") -> Column:
     """Texts that are equal are one node; null counts as empty."""
-    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("node")
+    return F.unhex(F.md5(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))).alias("node")
 
 
 def _candidates(nodes: DataFrame) -> DataFrame:
@@ -283,8 +283,16 @@ def join(docs: DataFrame) -> DataFrame:
     each other's copies. Null ids are never a class's least unless it has no other.
     Only ``doc_id`` and ``text`` are read.
     """
-    spark = docs.sparkSession
-    common.small_batches(spark)
+    docs = docs.select("doc_id", "text")
+    return docs.select("doc_id", node_key()).join(classes(docs), "node").select("doc_id", "class_id", "links")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """``node, label, class_id, links`` of every distinct text; nodes of one class, and no others, share a ``label``.
+
+    Unlike ``class_id``, which is null where no row of a class has an id, a label is never null.
+    """
+    common.small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     nodes = common.saved(nodes_of(docs), "nodes")
     near = components(_candidates(nodes), "candidates")
@@ -294,5 +302,4 @@ def join(docs: DataFrame) -> DataFrame:
     known = nodes.select("node", "n", "doc_id").join(linked, "node", "left").join(counts, "node", "left")
     known = known.select("node", "n", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).alias("links"), "doc_id")
     least = known.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    known = known.join(least, "label").select("node", "class_id", (F.col("links") + F.col("n") - 1).alias("links"))
-    return docs.select("doc_id", node_key()).join(known, "node").select("doc_id", "class_id", "links")
+    return known.join(least, "label").select("node", "label", "class_id", (F.col("links") + F.col("n") - 1).alias("links"))

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ngram_join
+
 #: Bytes of a window; items that one group holds.
 CAPACITY, GROUP = 8192, 8192
 SCHEMA = "doc_id long, chunk int, start_byte long, n_bytes int, bin_id string, bin_offset int"
@@ -56,9 +58,20 @@ def _bits(keys: pd.Series, single: bool) -> list[int]:
     return [1 << dense[c] if c >= 0 else 0 for c in codes]
 
 
-def pack(docs: DataFrame, cluster: Column, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
+def pack_apart(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
+    """:func:`pack` with near copies, as :mod:`ngram_join` finds them in the texts' lower case, as clusters.
+
+    Copies up to case and whatever hangs together at a similarity of 0.8 share a cluster, with or without ids.
+    """
+    lower = F.lower("text")
+    known = ngram_join.classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), lower.alias("text")))
+    return pack(docs, ngram_join.node_key(lower), capacity, group, known.select(F.col("node").alias("cluster"), "label"))
+
+
+def pack(docs: DataFrame, cluster: Column, capacity: int = CAPACITY, group: int = GROUP, labels: DataFrame | None = None) -> DataFrame:
     """Where each piece of each document goes: one row a window's piece.
 
+    With ``labels`` (``cluster, label``), those of one label are one cluster.
     Sizes are UTF-8 bytes. A null or empty text is a piece of no bytes. A null
     source or cluster conflicts with nothing; rows without id are packed too.
     Equal sizes go in order of id, then of chunk. Repeated rows are packed each;
@@ -78,6 +91,8 @@ def pack(docs: DataFrame, cluster: Column, capacity: int = CAPACITY, group: int
     groups = max(1, -(-docs.count() // group))
     # the rank spreads repeated rows of one hash too
     items = items.withColumn("g", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(groups)).cast("int"))
+    if labels is not None:
+        items = items.join(labels, "cluster", "left").drop("cluster").withColumnRenamed("label", "cluster")
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n_bytes", "doc_id", "chunk"], ascending=[False, True, True], kind="stable", na_position="last")

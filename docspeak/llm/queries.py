@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import bpe, common, imatch, language_id, media, ngram_join, packing, quality, substring_dedup, toxicity, warc
 
@@ -48,8 +47,8 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where every piece of every document is packed; copies up to case share a cluster."""
-    return packing.pack(_table(spark, sf_dir, "documents"), F.xxhash64(F.lower("text")))
+    """Where every piece of every document is packed; near copies share a cluster."""
+    return packing.pack_apart(_table(spark, sf_dir, "documents"))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,6 +174,20 @@ def test_packing(odd, empty):
     assert packing.pack(empty, F.xxhash64("text")).count() == 0
 
 
+def test_packing_keeps_near_copies_apart(spark, monkeypatch):
+    """Near copies, copies up to case and rows without id of one text go to different bins, though their sources differ."""
+    base = words(60, 8)
+    near = [" ".join([*base[:k], "zz", *base[k + 1 :]]) for k in (0, 59)]
+    texts = [" ".join(base), *near, near[0].upper(), " ".join(words(60, 9))]
+    rows = [(k, t, f"s{k}") for k, t in enumerate(texts)] + [(None, near[1], "s8"), (None, texts[0], "s9")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    monkeypatch.setattr(queries, "_table", lambda *_: df)
+    got = queries.op5_packing(spark, SF).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"], r["n_bytes"]) for r in got if r["doc_id"] is not None) == [(False, k, len(t)) for k, t in enumerate(texts)] and len(got) == 7
+    bins = [r["bin_id"] for r in got if r["doc_id"] != 4]
+    assert len(set(bins)) == 6 and {r["bin_id"] for r in got if r["doc_id"] == 4} < set(bins)
+
+
 def test_best_fit_by_brute_force():
     r = random.Random(4)
     items = sorted(((r.randrange(1, 50), 1 << r.randrange(9), r.choice([0, 1, 2, 4])) for _ in range(200)), reverse=True)
