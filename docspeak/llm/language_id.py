@@ -27,7 +27,7 @@ from . import common
 
 #: Characters of labelled text an automaton is built from, for each language.
 FIT_CHARS = 20_000
-#: Labelled rows looked at for each language, and the longest used.
+#: Labelled rows used of each language, and characters of each from its first letter on.
 FIT_ROWS, FIT_ROW_CHARS = 200, 20_000
 PIECE = 1024
 FOLDS, HELD = 4, 2
@@ -156,9 +156,13 @@ class Parser:
 
 
 def fit(docs: DataFrame, folds: int = FOLDS, held: int = HELD) -> dict[str, str]:
-    """Up to ``FIT_CHARS`` of labelled text of each language, from at most ``FIT_ROWS`` rows outside the held-out fold."""
+    """Up to ``FIT_CHARS`` of labelled text of each language, from at most ``FIT_ROWS`` rows outside the held-out fold.
+
+    Only rows whose text has a letter are numbered; of a long text the first ``FIT_ROW_CHARS`` from its first letter on are used.
+    """
     spark = docs.sparkSession
     first = Window.partitionBy("lang").orderBy("k", "doc_id")
+    docs = docs.where(F.col("text").rlike(r"\p{L}"))
     ids = (
         docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (common.fold("doc_id", folds) != held))
         .select("lang", "doc_id", F.xxhash64("doc_id").alias("k"))
@@ -167,7 +171,8 @@ def fit(docs: DataFrame, folds: int = FOLDS, held: int = HELD) -> dict[str, str]
     if not ids:
         return {}
     wanted = F.broadcast(spark.createDataFrame([(r["doc_id"], r["lang"], r["n"]) for r in ids], "doc_id long, lang string, n int"))
-    rows = docs.where(F.length("text") <= FIT_ROW_CHARS).select("doc_id", "lang", "text").join(wanted, ["doc_id", "lang"]).collect()
+    part = F.substring(F.regexp_replace("text", r"^\P{L}+", ""), 1, FIT_ROW_CHARS)
+    rows = docs.join(wanted, ["doc_id", "lang"]).select("lang", "n", part.alias("text")).collect()
     texts = {}
     for k in sorted({r["lang"] for r in rows}):
         own = sorted((r["n"], r["text"]) for r in rows if r["lang"] == k)

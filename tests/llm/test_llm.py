@@ -118,6 +118,15 @@ def test_language_with_little_text(spark):
     assert np.mean([g == r["lang"] for g, r in zip(short.predict([r["text"] for r in rows])[0], rows, strict=True)]) >= 0.95
 
 
+def test_language_of_long_or_missing_texts(spark, monkeypatch):
+    """Rows without usable text aren't numbered, and a long text is used in part."""
+    monkeypatch.setattr(language_id, "FIT_ROWS", 2)
+    rows = [(k, "aa", t) for k, t in enumerate([None, "", "12 !", "_"] * 10)] + [(k, "aa", "un texte utile") for k in range(100, 104)]
+    rows += [(k, "bb", "1 " * 15_000 + "long words " * 3_000) for k in range(200, 204)]
+    texts = language_id.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    assert texts["aa"] == "un texte utile un texte utile" and texts["bb"] == ("long words " * 3_000)[: language_id.FIT_CHARS]
+
+
 def test_phrases_by_brute_force():
     text = "abracadabra banana band"
     parser = language_id.Parser({"a": "banana bandana", "b": "abracadabra"})
