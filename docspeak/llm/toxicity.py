@@ -55,7 +55,10 @@ class Model:
 
 
 def train(rows: list[tuple[int, str, int]], totals: dict[int, int], seed: int = 5) -> Model:
-    """One pass a row, ``EPOCHS`` times, in a fixed shuffled order."""
+    """One pass a row, ``EPOCHS`` times, in a fixed shuffled order; ``totals`` gives each class its true weight.
+
+    A class is sampled whatever its texts are, so its share of the odds is put right in the bias.
+    """
     n_all = sum(totals.values())
     share = (totals.get(1, 0) + 0.5) / (n_all + 1)
     base = float(np.log(share / (1 - share)))
@@ -81,6 +84,7 @@ def train(rows: list[tuple[int, str, int]], totals: dict[int, int], seed: int =
             n[at] += g * g
             bias_n += g * g
             bias -= 0.1 * g / np.sqrt(bias_n)
+    bias += np.log(max(1, totals.get(1, 0)) / (y == 1).sum()) - np.log(max(1, totals.get(0, 0)) / (y == 0).sum())
     every = np.flatnonzero(np.abs(z) > L1)
     return Model(every, weight(every).astype(np.float32), float(bias))
 

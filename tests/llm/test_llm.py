@@ -96,6 +96,13 @@ def test_toxicity(spark, odd):
     assert toxicity.score(odd, toxicity.train([], {})).count() == 13
 
 
+def test_toxicity_of_a_sample():
+    """Classes cut to equal numbers leave the odds of the whole labels, and weights as they are."""
+    rows = [(k, " ".join(["foul"] * (k % 2) + words(20, k, 40)), k % 2) for k in range(200)]
+    even, rare = toxicity.train(rows, {0: 100, 1: 100}), toxicity.train(rows, {0: 10_000, 1: 100})
+    assert np.isclose(rare.bias, even.bias - np.log(100)) and np.array_equal(rare.weights, even.weights)
+
+
 def test_language(spark, odd, empty):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = queries.op4_language(spark, SF).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
