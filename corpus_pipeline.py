@@ -16,9 +16,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language; a null ``lang`` becomes the predicted one."""
+    """Documents that fit a learned language; a null ``lang`` becomes the predicted one, any other stays.
+
+    Out go texts without letters, and those whose phrases in the best language, beyond the first three,
+    cost no less than spelling the text in equally likely signs. Without labelled text nothing is known to fit.
+    """
     common.small_batches(spark)
-    found = language_id.identify(docs, language_id.fit(docs)).where("lang_pred <> 'und'")
+    found = language_id.identify(docs, language_id.fit(docs), fits=True).where("lang_pred <> 'und' and fits")
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
 
 

@@ -31,6 +31,8 @@ FIT_CHARS = 20_000
 FIT_ROWS, FIT_ROW_CHARS = 200, 20_000
 PIECE = 1024
 FOLDS, HELD = 4, 2
+#: Phrases that say nothing yet against a text's language.
+SPARE = 3
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -92,6 +94,8 @@ class Parser:
         cost = np.log([len(plain[k]) + self.width + 1.0 for k in self.langs])
         #: Cost of a phrase in each language; 1 in that of the longest text.
         self.cost = (cost / cost.max(initial=1.0))[:, None]
+        #: Phrases of that language that cost as much as a letter spelt in equally likely signs.
+        self.spelt = float(np.log(self.width) / cost.max(initial=1.0))
         self.table = np.concatenate([t + 2 * b for t, b in zip(tables, base, strict=True)]) if tables else np.zeros(0, np.int32)
 
     @staticmethod
@@ -140,10 +144,14 @@ class Parser:
         return self.code[self.points(self.plain(text))]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        names, scores = ["und"] * len(texts), [0.0] * len(texts)
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+        """Languages, scores, and whether the text fits its language: beyond the first ``SPARE``, phrases cost less than spelling it."""
+        names, scores, fits = ["und"] * len(texts), [0.0] * len(texts), [False] * len(texts)
         use = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
         if not self.langs or not use:
-            return names, scores
+            return names, scores, fits
         counts, chars = self.phrases([texts[i] for i in use])
         cost = counts * self.cost
         rate = cost / np.maximum(chars, 1)
@@ -152,7 +160,8 @@ class Parser:
             # phrases' cost saved against each other language, as odds
             odds = sum(math.exp(-min(50.0, float(cost[j, k] - cost[best[k], k]))) for j in range(len(self.langs)))
             names[i], scores[i] = self.langs[best[k]], 1.0 / odds
-        return names, scores
+            fits[i] = bool(cost[best[k], k] - SPARE * self.cost[best[k], 0] < self.spelt * chars[k])
+        return names, scores, fits
 
 
 def fit(docs: DataFrame, folds: int = FOLDS, held: int = HELD) -> dict[str, str]:
@@ -184,13 +193,13 @@ def fit(docs: DataFrame, folds: int = FOLDS, held: int = HELD) -> dict[str, str]
 _parsers: dict[str, Parser] = {}
 
 
-def identify(docs: DataFrame, texts: dict[str, str], keep: list[str] | None = None) -> DataFrame:
-    """Add ``lang_pred`` and ``score`` to every row.
+def identify(docs: DataFrame, texts: dict[str, str], keep: list[str] | None = None, fits: bool = False) -> DataFrame:
+    """Add ``lang_pred`` and ``score`` to every row, and with ``fits`` whether the text fits that language (:meth:`Parser.judge`).
 
     A null text, or one without letters, gives ``und`` and 0. Whole texts are
     parsed whatever their length. Ties go to the first language in order. A
     model without labelled text gives ``und`` everywhere. Repeated rows are each
-    scored. Columns named like the two that are added are replaced.
+    scored. Columns named like those that are added are replaced.
     """
     name = hashlib.md5(repr(sorted(texts.items())).encode()).hexdigest()
     sent = docs.sparkSession.sparkContext.broadcast(texts)
@@ -202,9 +211,9 @@ def identify(docs: DataFrame, texts: dict[str, str], keep: list[str] | None = No
         parser = _parsers[name]
 
         def each(batch: list) -> list[pa.Array]:
-            langs, scores = parser.predict(batch)
-            return [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+            langs, scores, fit_ = parser.judge(batch)
+            return [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *([pa.array(fit_, pa.bool_())] if fits else [])]
 
         return each
 
-    return common.map_text(docs, start, {"lang_pred": "string", "score": "double"}, keep)
+    return common.map_text(docs, start, {"lang_pred": "string", "score": "double"} | ({"fits": "boolean"} if fits else {}), keep)

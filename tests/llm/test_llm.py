@@ -268,6 +268,20 @@ def test_pipeline_stages(spark, odd, empty):
     assert pipeline.near_duplicate_stage(spark, empty, SF).count() == pipeline.passage_stage(spark, empty, SF).count() == 0
 
 
+def test_pipeline_language_stage(spark):
+    """Texts that fit no learned language go; clean and short ones stay."""
+    import corpus_pipeline as pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    r = random.Random(1)
+    odd_ones = ["γνώση και λόγος " * 9, "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(600)), "123 !", None, "Ok"]
+    more = spark.createDataFrame([(10**9 + k, t, None, "s", 0) for k, t in enumerate(odd_ones)], docs.schema)
+    kept = {x["doc_id"] for x in pipeline.language_stage(spark, docs.unionByName(more), SF).collect()}
+    assert {k for k in kept if k >= 10**9} == {10**9 + 4}
+    clean = {x["doc_id"] for x in docs.where("length(text) > 100").select("doc_id").collect()}
+    assert len(clean & kept) >= 0.999 * len(clean)
+
+
 def test_imatch(spark, odd):
     rows = [(i, " ".join(words(60, i))) for i in range(40)]
     df = spark.createDataFrame([*rows, (40, None), (41, "")], "doc_id long, text string")
