@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspeak.llm import common, language_id, ngram_join, packing, quality, substring_dedup
@@ -27,9 +27,15 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the least id. Rows without id stay: no id stands for them."""
-    kept = ngram_join.join(docs).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """One row of each class of near duplicates: that of the least id, then of the least text hash; rows with an id come first."""
+
+    def key(node: str, doc_id: str) -> Column:
+        return F.concat_ws(":", F.hex(node), F.col(doc_id).cast("string"))
+
+    least = F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", "node")).alias("r")
+    kept = ngram_join.classes(docs).groupBy("label").agg(least).select(key("r.node", "r.least_id").alias("__key"))
+    rows = docs.withColumn("__node", ngram_join.node_key()).withColumn("__key", key("__node", "doc_id"))
+    return rows.join(kept, "__key").dropDuplicates(["__key"]).select(docs.columns)
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -288,9 +288,10 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """``node, label, class_id, links`` of every distinct text; nodes of one class, and no others, share a ``label``.
+    """``node, least_id, label, class_id, links`` of every distinct text; nodes of one class, and no others, share a ``label``.
 
     Unlike ``class_id``, which is null where no row of a class has an id, a label is never null.
+    ``least_id`` is the least id of the rows with that text.
     """
     common.small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
@@ -302,4 +303,4 @@ def classes(docs: DataFrame) -> DataFrame:
     known = nodes.select("node", "n", "doc_id").join(linked, "node", "left").join(counts, "node", "left")
     known = known.select("node", "n", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).alias("links"), "doc_id")
     least = known.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    return known.join(least, "label").select("node", "label", "class_id", (F.col("links") + F.col("n") - 1).alias("links"))
+    return known.join(least, "label").select("node", F.col("doc_id").alias("least_id"), "label", "class_id", (F.col("links") + F.col("n") - 1).alias("links"))

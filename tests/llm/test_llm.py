@@ -282,6 +282,18 @@ def test_pipeline_language_stage(spark):
     assert len(clean & kept) >= 0.999 * len(clean)
 
 
+def test_pipeline_near_duplicates_by_class(spark):
+    """Different texts of one id both stay; of copies among rows without id, or of rows with ids, one stays."""
+    import corpus_pipeline as pipeline
+
+    base, other, third, fourth = (" ".join(words(60, k)) for k in (21, 22, 23, 24))
+    near = [" ".join([*t.split()[:-1], "zz"]) for t in (base, third)]
+    rows = [(1, base), (1, other), (1, base), (2, near[0]), (None, near[0]), (None, third), (None, third), (None, near[1]), (3, fourth), (3, fourth + " zz"), (None, other)]
+    got = [(r["doc_id"], r["text"]) for r in pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()]
+    assert sorted(i for i, _ in got if i is not None) == [1, 1, 3] and len(got) == 4
+    assert {t for i, t in got if i == 1} == {base, other} and [t for i, t in got if i is None][0] in (third, near[1])
+
+
 def test_imatch(spark, odd):
     rows = [(i, " ".join(words(60, i))) for i in range(40)]
     df = spark.createDataFrame([*rows, (40, None), (41, "")], "doc_id long, text string")
