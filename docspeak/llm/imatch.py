@@ -4,7 +4,7 @@ Terms (what stands between white space and punctuation) are kept if the share of
 that hold them lies in a band, so neither names that one text has nor words that
 all have decide. Of what is kept, randomised subsets of the lexicon each hash the
 sorted distinct terms; the fingerprint is the list of those hashes. A subset that
-holds none of a text's terms says nothing about it.
+holds none of a text's terms says nothing about it, unless none holds any.
 
 Terms are told apart by their hash into ``BINS``, so the lexicon is a bitmap of
 fixed size at any number of documents: a rare term that shares a bin adds little
@@ -69,9 +69,14 @@ def with_fingerprint(rows: DataFrame, text: str, bitmap: list[int], name: str) -
     """Add column ``name``: an int for each subset, null where the subset holds none of the text's terms.
 
     A text without a term in the band is fingerprinted by all its terms; one
-    without terms, null or empty included, has nulls only. Equal texts have equal fingerprints.
+    without terms, null or empty included, has nulls only. Where no subset holds
+    any of a text's terms, all of them stand in each. Equal texts have equal fingerprints.
     """
     own = f"__{name}"
+
+    def hashed(terms: Column | str, k: int) -> Column:
+        return F.xxhash64(terms, F.lit(k)).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+
     rows = rows.withColumn(own, kept_terms(F.col(text), bitmap))
     out = []
     for rate in RATES:
@@ -79,12 +84,14 @@ def with_fingerprint(rows: DataFrame, text: str, bitmap: list[int], name: str) -
             # a subset takes the terms whose hash has zeros at its place
             place = (5 * k + 3 * rate.bit_length()) % 57
             terms = F.filter(own, _zeros((rate - 1) << place))
-            out.append(F.when(F.size(terms) > 0, F.xxhash64(terms, F.lit(len(out))).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")))
-    return rows.withColumn(name, F.array(*out)).drop(own)
+            out.append(F.when(F.size(terms) > 0, hashed(terms, len(out))))
+    rows = rows.withColumn(name, F.array(*out))
+    outside = F.forall(name, lambda x: x.isNull()) & (F.size(own) > 0)
+    return rows.withColumn(name, F.when(outside, F.array(*(hashed(own, k) for k in range(SUBSETS)))).otherwise(F.col(name))).drop(own)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of subsets on which both agree, of those that hold terms of either; 1 if none does."""
+    """Share of subsets on which both agree, of those that hold terms of either; 1 if neither text has a term."""
     same = F.filter(F.zip_with(a, b, lambda x, y: F.when(x.isNotNull() | y.isNotNull(), x.eqNullSafe(y).cast("int"))), lambda x: x.isNotNull())
     return F.when(F.size(same) > 0, F.aggregate(same, F.lit(0), lambda s, x: s + x) / F.size(same)).otherwise(F.lit(1.0))
 

@@ -307,6 +307,14 @@ def test_imatch(spark, odd):
     assert imatch.compare_edits(odd, imatch.lexicon(odd)).count() == 13
 
 
+def test_imatch_of_few_terms(spark):
+    """Different texts of one term are told apart, and from the empty text, though no subset may hold the term."""
+    df = spark.createDataFrame([*((k, f"term{k}") for k in range(60)), (60, ""), (61, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in imatch.compare_edits(df, imatch.lexicon(df)).collect()}
+    assert len({r["fingerprint"] for r in got.values()}) == 61 and got[60]["fingerprint"] == got[61]["fingerprint"]
+    assert {k for k, r in got.items() if r["near_next"] > 0} == {61}
+
+
 def test_media(odd, empty):
     got = {r["doc_id"]: r for r in media.read_media(media.store_texts(odd)).collect()}
     for r in odd.collect():
