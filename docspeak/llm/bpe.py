@@ -6,9 +6,9 @@ recursive query joins neighbouring rows to the merge table, takes every word's
 leftmost pair of least rank, and contracts it; words without a pair drop out. What
 a query holds is bounded: words are grouped by the states that they can make, and a
 long word goes through several queries, whose steps contract many places at once.
-Decoding joins the ids to the vocabulary and puts the bytes together by an
-ordered aggregation. A word seen before in the worker is looked up, in a cache
-of bounded size that is emptied when full; the result doesn't depend on it.
+A word seen before in the worker is looked up, in a cache of bounded size that is
+emptied when full; the result doesn't depend on it. Decoding joins all ids of each
+text to the vocabulary and puts the bytes together by an ordered aggregation.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from . import common
 QUERY_WORDS, KEPT_WORDS, KEPT_PIECES = 100_000, 600_000, 150_000
 #: Bytes from which a word is long, and states that the steps of one recursive query may make.
 LONG_BYTES, QUERY_STATES = 400, 4_000_000
+#: Ids that one query decodes.
+QUERY_IDS = 500_000
 _DOUBLE_SPACE = re.compile(r"\s\s")
 
 #: Every state that a word passes through; the last step of each word is its coding.
@@ -92,7 +94,7 @@ select w, pos, tok, step from state
 LAST = "select c.w, c.pos, c.tok, c.step from coded c join (select w, max(step) as step from coded group by w) last on c.w = last.w and c.step = last.step order by c.w, c.pos"
 #: A byte is written as the character of that number, so the text's Latin-1 bytes are the result.
 DECODE = """
-select string_agg(v.piece, '' order by i.pos) as piece
+select i.r, string_agg(v.piece, '' order by i.pos) as piece
 from ids_in i join vocabulary v on v.tok = i.tok group by i.r order by i.r
 """
 
@@ -125,8 +127,8 @@ class Codec:
         self.db.unregister("pairs_in"), self.db.unregister("names_in")
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         self.decimal = np.array([str(i) for i in range(max(self.ranks.values()) + 1)], dtype=object)
-        self.words: dict[str, tuple[str, bytes]] = {}
-        self.pieces: dict[str, tuple[str, bytes]] = {}
+        self.words: dict[str, str] = {}
+        self.pieces: dict[str, str] = {}
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after the other, and how many each has (words are matches of the pattern; none is empty)."""
@@ -181,20 +183,17 @@ class Codec:
             self.db.register("bytes_in", pa.table({k: np.asarray(got[k], np.int32) for k in ("w", "pos", "tok")}))
 
     def decode_runs(self, flat: np.ndarray, counts: np.ndarray) -> list[bytes]:
-        """The bytes of each run of ids; ``flat`` holds the runs one after the other."""
-        ends = np.cumsum(counts)
-        out: list[bytes] = [b""] * len(counts)
-        full = np.flatnonzero(counts)
-        for k in range(0, len(full), QUERY_WORDS):
-            part = full[k : k + QUERY_WORDS]
-            ids = flat[ends[part[0]] - counts[part[0]] : ends[part[-1]]]
-            rows = pa.table({"r": np.repeat(np.arange(len(part), dtype=np.int32), counts[part]), "pos": np.arange(len(ids)), "tok": ids})
-            self.db.register("ids_in", rows)
-            got = self.db.execute(DECODE).fetchnumpy()["piece"]
+        """The bytes of each run of ids; ``flat`` holds the runs one after the other. A long run goes through several queries."""
+        run = np.repeat(np.arange(len(counts), dtype=np.int64), counts)
+        out: list[list[bytes]] = [[] for _ in counts]
+        for k in range(0, len(flat), QUERY_IDS):
+            own = run[k : k + QUERY_IDS]
+            self.db.register("ids_in", pa.table({"r": own, "pos": np.arange(len(own), dtype=np.int32), "tok": flat[k : k + QUERY_IDS]}))
+            got = self.db.execute(DECODE).fetchnumpy()
             self.db.unregister("ids_in")
-            for i, text in zip(part, got, strict=True):
-                out[i] = text.encode("latin-1")
-        return out
+            for i, text in zip(got["r"].tolist(), got["piece"], strict=True):
+                out[i].append(text.encode("latin-1"))
+        return [b"".join(parts) for parts in out]
 
     def _learn(self, words: list[str]) -> None:
         new = [w for w in dict.fromkeys(words) if w not in self.words]
@@ -205,8 +204,8 @@ class Codec:
             new = list(dict.fromkeys(words))
         flat, counts = self.encode_words([w.encode() for w in new])
         names, at = self.decimal[flat].tolist(), 0
-        for w, n, data in zip(new, counts.tolist(), self.decode_runs(flat, counts), strict=True):
-            self.words[w] = (names[at] if n == 1 else " ".join(names[at : at + n]), data)
+        for w, n in zip(new, counts.tolist(), strict=True):
+            self.words[w] = names[at] if n == 1 else " ".join(names[at : at + n])
             at += n
 
     def pieces_of(self, text: str) -> list[str]:
@@ -217,8 +216,8 @@ class Codec:
         out = [" " + p for p in rest]
         return [head, *out] if head else out
 
-    def codes(self, texts: list[str | None]) -> list[list[tuple[str, bytes]]]:
-        """For each whole text its parts: the decimal ids, and the bytes that they decode to."""
+    def codes(self, texts: list[str | None]) -> list[str]:
+        """The decimal ids of each whole text, joined by one space."""
         cut = [self.pieces_of(t) if t else [] for t in texts]
         every = set().union(*cut)
         new = list(every - self.pieces.keys())
@@ -230,13 +229,14 @@ class Codec:
             self._learn(list(chain.from_iterable(part)))
             words = self.words
             for p, own in zip(new[k : k + QUERY_WORDS], part, strict=True):
-                if len(own) == 1:
-                    self.pieces[p] = words[own[0]]
-                else:
-                    got = [words[w] for w in own]
-                    self.pieces[p] = (" ".join([g[0] for g in got]), b"".join([g[1] for g in got]))
+                self.pieces[p] = words[own[0]] if len(own) == 1 else " ".join([words[w] for w in own])
         pieces = self.pieces
-        return [[pieces[p] for p in c] for c in cut]
+        return [" ".join([pieces[p] for p in c]) for c in cut]
+
+    def ids(self, codes: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all codes one after the other, and how many each has."""
+        flat = np.fromstring(" ".join(filter(None, codes)), dtype=np.int32, sep=" ") if any(codes) else np.zeros(0, np.int32)
+        return flat, np.array([c.count(" ") + 1 if c else 0 for c in codes], dtype=np.int64)
 
 
 _codecs: dict[str, Codec] = {}
@@ -271,7 +271,8 @@ def encode(docs: DataFrame, rank_file: bytes, pattern: str, keep: list[str] | No
         def each(batch: list) -> list[pa.Array]:
             out = []
             for g in _groups(batch):
-                out += [[int(i) for c in code for i in c[0].split()] for code in codec.codes(batch[g])]
+                flat, counts = codec.ids(codec.codes(batch[g]))
+                out += np.split(flat, np.cumsum(counts)[:-1]) if len(counts) else []
             return [pa.array(out, pa.list_(pa.int32()))]
 
         return each
@@ -315,11 +316,11 @@ def round_trip(docs: DataFrame, rank_file: bytes, pattern: str, keep: list[str]
         def each(batch: list) -> list[pa.Array]:
             n, coded, decoded = [], [], []
             for g in _groups(batch):
-                for code in codec.codes(batch[g]):
-                    ids = " ".join([c[0] for c in code]).encode()
-                    n.append(ids.count(b" ") + 1 if ids else 0)
-                    coded.append(hashlib.sha256(ids).hexdigest())
-                    decoded.append(hashlib.sha256(b"".join([c[1] for c in code])).hexdigest())
+                codes = codec.codes(batch[g])
+                flat, counts = codec.ids(codes)
+                n += counts.tolist()
+                coded += [hashlib.sha256(c.encode()).hexdigest() for c in codes]
+                decoded += [hashlib.sha256(d).hexdigest() for d in codec.decode_runs(flat, counts)]
             return [pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
 
         return each

@@ -1,8 +1,10 @@
 """Vectorised word splitting and hashing over UTF-8 bytes (numpy only).
 
-Hashes are polynomials over bytes modulo 2**64, taken from one running sum and
-then mixed, so a text of any length costs a few array passes and no loop over
-its words.
+A word's hash is the mixed sum of one fixed random number for each place and byte
+at it, taken from a running sum, so a text of any length costs a few array
+passes and no loop over its words. Runs of words are hashed by doubling: halves
+are mixed into wholes. Neither is a polynomial, so no family of words of regular
+build shares a hash.
 """
 
 from __future__ import annotations
@@ -10,20 +12,10 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-_BASE, _INV = U(0x9E3779B97F4A7C15), U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Bytes hashed at a time; longer texts go in blocks that end between words.
 BLOCK = 1 << 20
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(which: str, n: int) -> np.ndarray:
-    have = _powers.get(which)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 14, 0 if have is None else 2 * len(have))
-        base = np.full(size, _BASE if which == "up" else _INV, dtype=U)
-        base[0] = 1
-        have = _powers[which] = np.multiply.accumulate(base)
-    return have[:n]
+#: Places of a word whose numbers are kept in a table; those of later ones are worked out.
+PLACES = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,6 +26,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
+_NUMBERS = mix(np.arange(1, PLACES * 256 + 1, dtype=U) * U(0x9E3779B97F4A7C15))
+
+
 def as_bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
 
@@ -63,10 +58,16 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         low = starts[i]
         j = max(i + 1, int(np.searchsorted(ends, low + BLOCK, side="right")))
         part = buf[low : ends[j - 1]]
-        sums = np.zeros(len(part) + 1, dtype=U)
-        np.cumsum((part.astype(U) + U(1)) * _power("up", len(part)), out=sums[1:])
         s, e = starts[i:j] - low, ends[i:j] - low
-        out[i:j] = mix((sums[e] - sums[s]) * _power("down", len(part) + 1)[s] + (e - s).astype(U))
+        place = np.arange(len(part)) - np.repeat(s, np.diff(s, append=len(part)))
+        at = (place << 8) + part
+        if int((e - s).max()) <= PLACES:
+            number = _NUMBERS.take(at, mode="clip")  # between words anything may stand: it isn't summed
+        else:
+            number = mix((at.astype(U) + U(1)) * U(0x9E3779B97F4A7C15))
+        sums = np.zeros(len(part) + 1, dtype=U)
+        np.cumsum(number, out=sums[1:])
+        out[i:j] = mix(sums[e] - sums[s] + (e - s).astype(U) * U(0xC2B2AE3D27D4EB4F))
         i = j
     return out
 
@@ -76,9 +77,20 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=U)
-    sums = np.zeros(len(h) + 1, dtype=U)
-    np.cumsum(h * _power("up", len(h)), out=sums[1:])
-    return mix((sums[k:] - sums[:-k]) * _power("down", n))
+    out, size, doubled, width = None, 0, h, 1
+    while True:
+        if k & width:  # what is done so far, then a run of this width
+            out = doubled[: len(h) - width + 1] if out is None else _joined(out, doubled[size:], width)
+            size += width
+        if 2 * width > k:
+            return out[:n]
+        doubled = _joined(doubled, doubled[width:], width)
+        width *= 2
+
+
+def _joined(left: np.ndarray, right: np.ndarray, width: int) -> np.ndarray:
+    n = min(len(left), len(right))
+    return mix(left[:n] * U(0xD6E8FEB86659FD93) + mix(right[:n] + U(width)))
 
 
 def sliding_argmin(x: np.ndarray, width: int) -> np.ndarray:

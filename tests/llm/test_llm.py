@@ -69,10 +69,13 @@ def test_bpe_long_words(monkeypatch):
     texts = ["a" * 20_000, "".join(r.choice("etaoinshr") for _ in range(5_000)), "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(300)), " " * 3_000 + "x"]
     short = ["".join(r.choice("theinga"[: r.randrange(2, 8)]) for _ in range(r.randrange(2, 200))) for _ in range(40)]
     for t in texts:
-        got = codec.codes([t])[0]
-        assert " ".join(c[0] for c in got) == " ".join(map(str, enc.encode_ordinary(t))) and b"".join(c[1] for c in got) == t.encode()
+        got = codec.codes([t])
+        assert got[0] == " ".join(map(str, enc.encode_ordinary(t))) and codec.decode_runs(*codec.ids(got)) == [t.encode()]
     monkeypatch.setattr(bpe, "LONG_BYTES", 1)
     monkeypatch.setattr(bpe, "QUERY_STATES", 1_000)
+    monkeypatch.setattr(bpe, "QUERY_IDS", 7)
+    coded = codec.codes([None, short[0], "", "".join(short), "é🎉"])
+    assert codec.decode_runs(*codec.ids(coded)) == [b"", short[0].encode(), b"", "".join(short).encode(), "é🎉".encode()]
     assert [codec.encode_words([t.encode()])[0].tolist() for t in short] == [enc.encode_ordinary(t) for t in short]
 
 
