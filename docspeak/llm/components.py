@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Parts that a node's edges are dealt into; a node has at most as many rows before its least neighbour is known.
+SALTS = 32
+
 
 def components(edges: DataFrame, name: str) -> DataFrame:
     """``node, label`` (the least node of the component) for every node of ``edges(a, b)``.
@@ -19,12 +22,10 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     state, turn = None, 0
     while True:
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = _tidy(large)
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("x"), "a", "m")
-        small = small.select(F.col("x").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        large = _with_least(both, True).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = _with_least(_tidy(large), False)
+        # the least neighbour keeps the node, the others go to the least
+        small = small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         turn += 1
         after = common.saved(_tidy(small), f"{name}-{turn}")
         common.remove(spark, now)
@@ -36,6 +37,15 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
+def _with_least(edges: DataFrame, itself: bool) -> DataFrame:
+    """Add ``m``, the least ``b`` of each ``a`` (or ``a`` itself, if that is less). A node's edges are dealt by a salt, so no task has all of a hot one's."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    part = salted.groupBy("a", "salt").agg(F.min("b").alias("m"))
+    least = part.groupBy("a").agg(F.min("m").alias("m"), F.collect_list("salt").alias("salts"))
+    least = least.select("a", (F.least("a", "m") if itself else F.col("m")).alias("m"), F.explode("salts").alias("salt"))
+    return salted.join(least, ["a", "salt"]).drop("salt")
+
+
 def _tidy(edges: DataFrame) -> DataFrame:
     """From the greater to the lesser node, once."""
     return edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()

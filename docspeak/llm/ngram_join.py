@@ -38,7 +38,7 @@ STEP, TOLERANCE = 16, 1e-6
 BUCKET_BLOCK, BLOCK = 4096, 1024
 #: Most nodes with a candidate that are sent to every executor to pick their texts.
 BROADCAST_NODES = 500_000
-_SEEDS = mix(np.arange(1, HASHES + 1, dtype=U)) | U(1)
+_SEEDS = (mix(np.arange(1, HASHES + 1, dtype=U)) >> U(32)).astype(np.uint32) | np.uint32(1)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -51,13 +51,13 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def minhash(own: np.ndarray) -> np.ndarray:
-    """The least of the set under each of ``HASHES`` orders."""
-    out = np.full(HASHES, U(0xFFFFFFFFFFFFFFFF))
-    for k in range(0, len(own), 2048):
-        part = own[k : k + 2048]
-        x = part[None, :] * _SEEDS[:, None]
-        out = np.minimum(out, (x ^ (x >> U(31))).min(axis=1))
-    return mix(out)
+    """The least of the set's upper halves under each of ``HASHES`` orders, mixed."""
+    out, half = np.full(HASHES, 0xFFFFFFFF, np.uint32), (own >> U(32)).astype(np.uint32)
+    for k in range(0, len(half), 2048):
+        x = half[None, k : k + 2048] * _SEEDS[:, None]
+        x ^= x >> np.uint32(15)
+        np.minimum(out, x.min(axis=1), out=out)
+    return mix(out.astype(U))
 
 
 def signature(values: np.ndarray) -> bytes:

@@ -6,8 +6,8 @@ duplicate cluster, both kept as bitmaps; if none is left it opens a bin. Items
 come in falling size. A document longer than a window fills whole windows of its
 own, and only its rest is packed.
 
-Documents are dealt by hash into groups of bounded size that are packed apart
-from each other, so no task grows with the corpus; a group can at most leave one
+Rows are dealt by hash of a number of their own, so that repeated ones are spread like
+others, into groups of bounded size that are packed apart from each other, so no task grows with the corpus; a group can at most leave one
 bin a source less full than packing all at once.
 """
 
@@ -19,10 +19,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import ngram_join
+from . import common, ngram_join
 
 #: Bytes of a window; items that one group holds.
 CAPACITY, GROUP = 8192, 8192
+#: Parts that the items of one cluster are dealt into when labels are joined.
+SALTS = 16
 SCHEMA = "doc_id long, chunk int, start_byte long, n_bytes int, bin_id string, bin_offset int"
 
 
@@ -74,29 +76,32 @@ def pack(docs: DataFrame, cluster: Column, capacity: int = CAPACITY, group: int
     With ``labels`` (``cluster, label``), those of one label are one cluster.
     Sizes are UTF-8 bytes. A null or empty text is a piece of no bytes. A null
     source or cluster conflicts with nothing; rows without id are packed too.
-    Equal sizes go in order of id, then of chunk. Repeated rows are packed each;
-    being copies, they never share a bin. Other columns are not read.
+    Equal sizes go in order of id, then of chunk. Repeated rows are packed each, and dealt
+    to groups like others; being copies, they never share a bin. Other columns are not read.
     """
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), cluster.alias("cluster"), size.alias("size"))
+    # rows have a number of their own, which stays as it is once written
+    base = common.saved(base.withColumn("row", F.monotonically_increasing_id()), "sizes")
     full = F.floor(F.col("size") / capacity).cast("int")
     rest = F.col("size") - full.cast("long") * capacity
     spans = F.transform(F.sequence(F.lit(0), full), lambda k: F.struct(k.alias("chunk"), F.when(k < full, F.lit(capacity).cast("long")).otherwise(rest).alias("n")))
     spans = F.filter(spans, lambda s: (s["n"] > 0) | (F.col("size") == 0))
-    rows = base.select("doc_id", "source", "cluster", F.explode(spans).alias("s")).select(
-        "doc_id", F.col("s.chunk").alias("chunk"), (F.col("s.chunk").cast("long") * capacity).alias("start_byte"), F.col("s.n").cast("int").alias("n_bytes"), "source", "cluster"
+    rows = base.select("row", "doc_id", "source", "cluster", F.explode(spans).alias("s")).select(
+        "row", "doc_id", F.col("s.chunk").alias("chunk"), (F.col("s.chunk").cast("long") * capacity).alias("start_byte"), F.col("s.n").cast("int").alias("n_bytes"), "source", "cluster"
     )
-    whole = rows.where(F.col("n_bytes") == capacity).select("doc_id", "chunk", "start_byte", "n_bytes", F.expr("concat('whole-', coalesce(string(doc_id), 'null'), '-', chunk)").alias("bin_id"), F.lit(0).alias("bin_offset"))
+    whole = rows.where(F.col("n_bytes") == capacity).select("doc_id", "chunk", "start_byte", "n_bytes", F.concat_ws("-", F.lit("whole"), "row", "chunk").alias("bin_id"), F.lit(0).alias("bin_offset"))
     items = rows.where(F.col("n_bytes") < capacity)
-    groups = max(1, -(-docs.count() // group))
-    # the rank spreads repeated rows of one hash too
-    items = items.withColumn("g", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(groups)).cast("int"))
+    groups = max(1, -(-base.count() // group))
     if labels is not None:
-        items = items.join(labels, "cluster", "left").drop("cluster").withColumnRenamed("label", "cluster")
+        salt = F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")
+        labels = labels.where(F.col("label") != F.col("cluster")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        items = items.withColumn("salt", salt).join(labels, ["cluster", "salt"], "left").withColumn("cluster", F.coalesce("label", "cluster"))
+    items = items.withColumn("g", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int")).repartitionByRange(groups, "g")
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n_bytes", "doc_id", "chunk"], ascending=[False, True, True], kind="stable", na_position="last")
         placed = best_fit(list(zip(pdf["n_bytes"].tolist(), _bits(pdf["source"], False), _bits(pdf["cluster"], True), strict=True)), capacity)
         return pdf.assign(bin_id=[f"{key[0]}-{b}" for b, _ in placed], bin_offset=[o for _, o in placed])[["doc_id", "chunk", "start_byte", "n_bytes", "bin_id", "bin_offset"]]
 
-    return items.groupBy("g").applyInPandas(one, SCHEMA).unionByName(whole)
+    return items.select("g", "doc_id", "chunk", "start_byte", "n_bytes", "source", "cluster").groupBy("g").applyInPandas(one, SCHEMA).unionByName(whole)

@@ -177,22 +177,41 @@ def test_substring_dedup(odd, empty):
     assert substring_dedup.deduplicate(empty).count() == 0
 
 
-def test_packing(odd, empty):
-    rows = packing.pack(odd, F.xxhash64("text"), capacity=4096).collect()
-    sources = {r["doc_id"]: (r["source"], r["text"]) for r in odd.collect()}
-    bins = {}
+def test_packing(spark, odd, empty):
+    """No bin over its capacity, whatever ids rows have; every byte of every row is packed once."""
+    big = spark.createDataFrame([(1, "x" * 10_000), (1, "x" * 10_000), (None, "y" * 10_000), (None, None), (None, None)], "doc_id long, text string")
+    docs = odd.unionByName(big, allowMissingColumns=True)
+    rows = packing.pack(docs, F.xxhash64("text"), capacity=4096).collect()
+    sources = {r["doc_id"]: r["source"] for r in odd.collect()}
+    bins, want = {}, {}
     for r in rows:
         bins.setdefault(r["bin_id"], []).append(r)
     for own in bins.values():
-        assert sum(r["n_bytes"] for r in own) <= 4096
-        named = [sources[r["doc_id"]][0] for r in own if sources[r["doc_id"]][0]]
+        ends = 0
+        for r in sorted(own, key=lambda r: (r["bin_offset"], r["n_bytes"])):
+            assert r["bin_offset"] == ends
+            ends += r["n_bytes"]
+        assert ends <= 4096
+        named = [sources[r["doc_id"]] for r in own if r["doc_id"] not in (None, 1) and sources[r["doc_id"]]]
         assert len(named) == len(set(named))
-    for i, (_, text) in sources.items():
-        if i is not None and i != 5:
-            assert sum(r["n_bytes"] for r in rows if r["doc_id"] == i) == len((text or "").encode())
+    for r in docs.collect():
+        n = len((r["text"] or "").encode())
+        want[r["doc_id"]] = want.get(r["doc_id"], 0) + n
+    assert {i: sum(r["n_bytes"] for r in rows if r["doc_id"] == i) for i in want} == want
+    assert sum(r["n_bytes"] == 0 for r in rows) == sum(not r["text"] for r in docs.collect())
     assert packing.pack(empty, F.xxhash64("text")).count() == 0
 
 
+def test_packing_spreads_repeated_rows(spark):
+    """Rows equal in all columns don't meet in one group."""
+    rows = spark.range(400).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same").alias("text"), F.lit("s").alias("source"))
+    got = packing.pack(rows, F.xxhash64("text"), group=20).collect()
+    sizes = {}
+    for r in got:
+        sizes[r["bin_id"].split("-")[0]] = sizes.get(r["bin_id"].split("-")[0], 0) + 1
+    assert len(got) == 400 and len(sizes) == 20 and max(sizes.values()) < 60 and len({r["bin_id"] for r in got}) == 400
+
+
 def test_packing_keeps_near_copies_apart(spark, monkeypatch):
     """Near copies, copies up to case and rows without id of one text go to different bins, though their sources differ."""
     base = words(60, 8)
