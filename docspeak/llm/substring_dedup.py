@@ -1,18 +1,19 @@
 """Exact removal of repeated word sequences by prefix-partitioned suffix trees.
 
-Every window of ``WINDOW`` words is a suffix cut at the depth that matters. Suffixes
-are split by a prefix of their content: of the ``GRAM``-word prefixes that begin
-within the first words of a window, the one of least hash, its *anchor*, names the
-group. Equal windows have equal anchors, so no repeat is split between groups,
-and a window whose anchor occurs nowhere else is settled without being sent.
-
-A group small enough for memory becomes a tree: the windows that share the
-anchor are named level by level (1, 2, 4 ... words, then the full depth), as in
-parallel suffix tree construction; nodes of full depth with two or more leaves are
-the repeats. Where an anchor is too frequent, its group is split by longer prefixes:
-first by the whole stretch of text whose windows share the anchor, so that copies of one
-stretch are counted and not compared, then, for one of each distinct stretch, by the full
-window's 128-bit digest. Both are distributed aggregations, so no group has to fit a task.
+Suffixes are split into groups by prefixes of variable length: the prefix of a
+suffix runs from its first word to the end of the least, by hash, of the ``GRAM``-word runs within its
+first ``WINDOW`` words, and all prefixes that end in the same run, the *anchor*,
+make one group. A prefix has ``GRAM`` to ``WINDOW`` words, and it alone decides
+the group, so suffixes equal over a window meet. Neighbouring suffixes mostly end
+their prefixes in the same anchor, so a group gets a stretch of text and not a copy
+of each suffix. A group whose anchor occurs nowhere else is settled without being sent.
+
+A group small enough for memory becomes a tree: its suffixes are sorted word by
+word, neighbours get the length of their common prefix, and the deep internal nodes
+are the runs of the order whose common prefixes reach a window; their leaves are
+the repeats. In a group that is too large prefixes are lengthened to the whole window,
+where a prefix is a deep node itself: equal stretches are counted first, then the
+windows of one of each distinct stretch, by aggregations that no single task has to hold.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ from .textvec import U, as_bytes, gram_hashes, mix, sliding_argmin, span_hashes,
 
 #: Words of a window, and of the prefixes that split the windows into groups.
 WINDOW, GRAM = 35, 16
-#: Occurrences from which an anchor's group is split by the full window.
+#: Occurrences of an anchor from which its group is split by prefixes of a whole window.
 HOT = 4000
+#: Parts that the rows of one stretch or window are dealt into when they are joined with what is known of it.
+SALTS = 32
 #: Words of suffixes that one tree building holds.
 TREE_WORDS = 1 << 20
 
@@ -145,31 +148,35 @@ def _hot_rows(suffixes: DataFrame, window: int) -> DataFrame:
                     names=["d", "times", "places", "one", "two", "at"],
                 )
 
-    rows = suffixes.where("hot").withColumn("d", F.unhex(F.md5("words")))
-    kinds = rows.groupBy("d").agg(F.count("*").alias("times"), F.first("words").alias("words"))
-    several = rows.join(kinds.where(F.col("times") > 1).select("d"), "d").select("u", "u2", F.array(F.struct("p", "n")).alias("spans"))
+    rows = suffixes.where("hot").withColumns({"d": F.unhex(F.md5("words")), "salt": F.pmod(F.xxhash64("u", "p"), F.lit(SALTS)).cast("int")})
+    parts = rows.groupBy("d", "salt").agg(F.count("*").alias("times"), F.first("words").alias("words"))
+    kinds = parts.groupBy("d").agg(F.sum("times").alias("times"), F.first("words").alias("words"), F.collect_list("salt").alias("salts"))
+    many = kinds.where(F.col("times") > 1).select("d", F.explode("salts").alias("salt"))
+    several = rows.join(many, ["d", "salt"]).select("u", "u2", F.array(F.struct("p", "n")).alias("spans"))
     each = kinds.select("d", "times", "words").mapInArrow(run, f"d binary, times long, places long, one long, two long, at array<{span}>")
-    twice = each.groupBy("one", "two").agg(F.sum("places").alias("places")).where(F.col("places") > 1).select("one", "two")
-    lone = each.where(F.col("times") == 1).join(twice, ["one", "two"]).groupBy("d").agg(F.flatten(F.collect_list("at")).alias("at"))
+    each = each.withColumn("salt", F.pmod(F.xxhash64("d"), F.lit(SALTS)).cast("int"))
+    twice = each.groupBy("one", "two", "salt").agg(F.sum("places").alias("places"))
+    twice = twice.groupBy("one", "two").agg(F.sum("places").alias("places"), F.collect_list("salt").alias("salts")).where(F.col("places") > 1)
+    twice = twice.select("one", "two", F.explode("salts").alias("salt"))
+    lone = each.where(F.col("times") == 1).join(twice, ["one", "two", "salt"]).groupBy("d").agg(F.flatten(F.collect_list("at")).alias("at"))
     found = rows.select("d", "u", "u2", "p").join(lone, "d")
     moved = F.transform("at", lambda x: F.struct((x["p"] + F.col("p")).alias("p"), x["n"].alias("n")))
     return several.unionByName(found.select("u", "u2", moved.alias("spans")))
 
 
-def repeated(groups: np.ndarray, words: list[bytes], counts: np.ndarray, window: int) -> np.ndarray:
-    """Of the windows that begin at the first ``counts[i]`` words of ``words[i]``: which also begin elsewhere in their group.
+def subtrees(groups: np.ndarray, words: list[bytes], counts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The trees of all groups: the suffixes in order, and the length, up to ``window`` words, that each has in common with the one before.
 
-    Builds the trees of all groups at once. A name stands for a node: level by
-    level, the names of both halves make the name of the whole.
+    ``words[i]`` holds the suffixes that begin at its first ``counts[i]`` words. Suffixes are numbered
+    one after the other; the first of a group has nothing in common with the one before.
+    Words, then runs of 2, 4 ... words, get their rank, each from the ranks of its halves.
     """
     buf = np.frombuffer(b" ".join(words), np.uint8)
     s, e = word_spans(buf)
     per = counts + window - 1
     first = np.cumsum(per) - per
-    row = np.repeat(np.arange(len(words)), per)
-    name = np.unique(span_hashes(buf, s, e), return_inverse=True)[1]
-    group = np.unique(groups, return_inverse=True)[1]
-    n, levels, size = len(name), {1: name}, 1
+    rank = np.unique(span_hashes(buf, s, e), return_inverse=True)[1]
+    n, levels, size = len(rank), {1: rank}, 1
 
     def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.unique(a.astype(np.int64) * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1]
@@ -177,19 +184,37 @@ def repeated(groups: np.ndarray, words: list[bytes], counts: np.ndarray, window:
     while size * 2 <= window:
         half = levels[size]
         right = np.zeros(n, np.int64)
-        right[: n - size] = half[size:] + 1  # names that run past their row are never used
+        right[: n - size] = half[size:] + 1  # ranks of runs that go on past their row are never used
         size *= 2
         levels[size] = pair(half, right)
     starts = np.repeat(first, counts) + np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-    # the group, then the words of the depth asked for, in parts of known names
-    node, at = group[row[starts]].astype(np.int64), starts.copy()
-    rest = window
+    group = np.unique(groups, return_inverse=True)[1][np.repeat(np.arange(len(words)), counts)]
+    key, at, rest = group.astype(np.int64), starts.copy(), window
     for size in sorted(levels, reverse=True):
         while rest >= size:
-            node = pair(node, levels[size][at])
+            key = pair(key, levels[size][at])
             at, rest = at + size, rest - size
-    leaves = np.bincount(node)
-    return leaves[node] > 1
+    order = np.argsort(key, kind="stable")
+    one, two = starts[order[:-1]], starts[order[1:]]
+    depth, rest = np.zeros(len(order), np.int64), np.full(max(0, len(order) - 1), window)
+    same = group[order[:-1]] == group[order[1:]]
+    for size in sorted(levels, reverse=True):
+        for _ in range(-(-window // size) if size == max(levels) else 1):
+            go = same & (rest >= size)
+            go[go] = levels[size][one[go]] == levels[size][two[go]]
+            step = np.where(go, size, 0)
+            one, two, rest = one + step, two + step, rest - step
+    depth[1:] = np.where(same, window - rest, 0)
+    return order, depth
+
+
+def repeated(groups: np.ndarray, words: list[bytes], counts: np.ndarray, window: int) -> np.ndarray:
+    """Of the suffixes of :func:`subtrees`: which are leaves of an internal node that is ``window`` words deep."""
+    order, depth = subtrees(groups, words, counts, window)
+    deep = depth >= window
+    out = np.zeros(len(order), bool)
+    out[order] = deep | np.append(deep[1:], False)
+    return out
 
 
 def _tree_rows(suffixes: DataFrame, parts: int, window: int) -> DataFrame:
@@ -244,7 +269,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
     common.remove(spark, every)
     suffixes = common.saved(_suffix_rows(texts, places, window, gram), "suffixes")
     common.remove(spark, places)
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # tasks of a few trees' words each, whatever the session deals
+    amount = suffixes.where("not hot").agg(F.sum(F.col("n") + window - 1)).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), amount // (4 * TREE_WORDS))
     trees = _tree_rows(suffixes, parts, window).select("u", "u2", F.array(F.struct("p", "n")).alias("spans"))
     found = trees.unionByName(_hot_rows(suffixes, window)).groupBy("u", "u2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     found = found.join(copied.select("u", "u2", F.lit(True).alias("copied")), ["u", "u2"], "full")

@@ -177,6 +177,40 @@ def test_substring_dedup(odd, empty):
     assert substring_dedup.deduplicate(empty).count() == 0
 
 
+def test_subtrees_by_brute_force():
+    """Order and common prefixes of all suffixes of a group, against sorting word lists."""
+    r = random.Random(9)
+    rows = [[r.choice("abc") for _ in range(r.randrange(6, 30))] for _ in range(12)]
+    groups, counts = np.array([k % 3 for k in range(12)]), np.array([len(w) - 5 for w in rows])
+    order, depth = substring_dedup.subtrees(groups, [" ".join(w).encode() for w in rows], counts, 6)
+    suffixes = [(g, w[i : i + 6]) for g, w, n in zip(groups.tolist(), rows, counts.tolist()) for i in range(n)]
+    assert sorted(order.tolist()) == list(range(len(suffixes))) and depth[0] == 0
+    for a, b, d in zip(order[:-1].tolist(), order[1:].tolist(), depth[1:].tolist()):
+        (g, x), (h, y) = suffixes[a], suffixes[b]
+        assert d == (next((k for k in range(6) if x[k] != y[k]), 6) if g == h else 0)
+    got = substring_dedup.repeated(groups, [" ".join(w).encode() for w in rows], counts, 6)
+    assert got.tolist() == [suffixes.count(x) > 1 for x in suffixes]
+
+
+def test_substring_dedup_of_regular_words_and_hot_groups(spark, monkeypatch):
+    """Words of regular build are told apart; groups over the memory bound give the same as small ones."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    rest = words(34, 3)
+    texts = [" ".join([word, *rest]), " ".join([word.translate(str.maketrans("ab", "ba")), *rest])]
+    passage = words(60, 4)
+    texts += [" ".join([*words(k % 7, k, 9), *passage, *words(3 + k % 5, k + 50, 9), *(passage[:40] if k % 4 == 0 else [])]) for k in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [(k, *b) for k, b in enumerate(brute_windows(texts))]
+    assert want[0][2] == want[1][2] == 0 and all(w[2] >= 60 for w in want[2:])
+    assert sorted(tuple(r) for r in substring_dedup.deduplicate(df, keep=["doc_id"]).collect()) == want
+    spans = substring_dedup.repeats(df, hot=5)
+    rows = df.withColumns({"u": F.xxhash64("text"), "u2": F.xxhash64("text", F.lit(1))}).join(spans, ["u", "u2"], "left").collect()
+    got = [(r["doc_id"], *substring_dedup.kept_words(r["text"], r["spans"], r["copied"], 35)[:2]) for r in rows]
+    assert sorted(got) == [w[:3] for w in want]
+
+
 def test_packing(spark, odd, empty):
     """No bin over its capacity, whatever ids rows have; every byte of every row is packed once."""
     big = spark.createDataFrame([(1, "x" * 10_000), (1, "x" * 10_000), (None, "y" * 10_000), (None, None), (None, None)], "doc_id long, text string")
