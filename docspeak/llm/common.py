@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,29 +12,60 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of documents an Arrow batch holds: texts can be long, so far fewer than Spark's default.
-BATCH_ROWS = 1000
+#: Rows, and bytes on average, that a function gets at once: texts can be long. Spark bounds the bytes of what a worker receives.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+#: Folders that this thread's operators wrote, in order.
+_made = threading.local()
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker holds at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of bounded size, whatever the session's setting."""
+    for batch in batches:
+        step = max(1, min(BATCH_ROWS, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes)))
+        for k in range(0, batch.num_rows, step):
+            yield batch.slice(k, step)
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a local one only where it names none (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder the cluster names in ``spark.checkpoint.dir``. A local one only where it names none and all runs on this machine (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="docspeak-")
-        spark.sparkContext.setCheckpointDir(root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docspeak-"))
         root = spark.sparkContext.getCheckpointDir()
     return root
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark).rstrip('/')}/docspeak-{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_root(spark).rstrip('/')}/docspeak-{uuid.uuid4().hex}"
+    _made.paths = [*getattr(_made, "paths", []), folder]
+    return f"{folder}/{name}"
+
+
+def mark() -> int:
+    """For :func:`clean`: how many folders this thread's operators have written."""
+    return len(getattr(_made, "paths", []))
+
+
+def clean(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete what this thread's operators wrote in the shared folder since a :func:`mark`, but for the files of ``keep``.
+
+    For when nothing reads it any more: a result that isn't written yet may.
+    """
+    kept = [f for f in keep.inputFiles()] if keep is not None else []
+    left = []
+    for folder in getattr(_made, "paths", [])[since:]:
+        if any(folder.rpartition("/")[2] in f for f in kept):
+            left.append(folder)
+        else:
+            _delete(spark, folder)
+    _made.paths = [*getattr(_made, "paths", [])[:since], *left]
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -59,10 +91,8 @@ def release(spark: SparkSession) -> None:
 
 def remove(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files behind a table made by :func:`saved`, once nothing reads it any more."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, parent)
 
 
 def fold(doc_id: Column | str, n: int) -> Column:
@@ -70,11 +100,6 @@ def fold(doc_id: Column | str, n: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % n
 
 
-def partitions_for(spark: SparkSession, n_bytes: int, each: int = 16 << 20) -> int:
-    """Partitions of about ``each`` bytes, at least the session's shuffle partitions."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // each))
-
-
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, per_class: int, max_chars: int
 ) -> tuple[list[tuple[int, str, int]], dict[int, int]]:
@@ -83,6 +108,7 @@ def labelled_sample(
     Only rows outside the held-out fold are looked at. Ids are chosen by their
     hash from the labels alone, so the documents are read once against a small
     broadcast list; texts over ``max_chars`` and nulls are not used for fitting.
+    A document that has both labels counts as of the greater one.
     """
     spark = docs.sparkSession
     train = (
@@ -119,7 +145,7 @@ def map_text(docs: DataFrame, start: Callable[[], Callable[[list], list[pa.Array
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = start()
-        for batch in batches:
+        for batch in small(batches):
             arrays = each(batch.column(at).to_pylist())
             kept = [batch.column(order.index(c)) for c in names]
             yield pa.RecordBatch.from_arrays([*kept, *arrays], names=[*names, *added])

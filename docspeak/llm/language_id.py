@@ -8,8 +8,10 @@ language's text or a single sign, so languages with little text compare with oth
 
 The automaton is run as a table: for each state and character it holds the next
 state, or, where the match ends, the state after restarting at the root together
-with a phrase mark. Many pieces of text then step through all languages at once
-in numpy. A phrase ends at the latest after ``PIECE`` characters.
+with a phrase mark. Texts are cut into pieces, and many pieces step through all languages at once
+in numpy: first as if each piece began a text, then once more those whose piece before
+ends in another state than assumed, until all begin where the one before ends. The
+phrases are those of the whole text, read from its first character to its last.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from . import common
 FIT_CHARS = 20_000
 #: Labelled rows used of each language, and characters of each from its first letter on.
 FIT_ROWS, FIT_ROW_CHARS = 200, 20_000
+#: Characters of a piece; the result doesn't depend on it.
 PIECE = 1024
 FOLDS, HELD = 4, 2
 #: Phrases that say nothing yet against a text's language.
@@ -112,32 +115,47 @@ class Parser:
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases by language and text, and characters parsed of each text."""
-        pieces, owner = [], []
+        pieces, owner, follows = [], [], []
         for i, t in enumerate(texts):
             codes = self.letters(t)
             for k in range(0, len(codes), PIECE):
                 pieces.append(codes[k : k + PIECE])
                 owner.append(i)
+                follows.append(k > 0)
         counts, chars = np.zeros((len(self.langs), len(texts)), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
         if not pieces:
             return counts, chars
+        size, who = np.array([len(p) for p in pieces]), np.array(owner)
+        begin = np.repeat(self.before, len(pieces), axis=1)
+        end, found = self._run(pieces, begin)
+        later = np.flatnonzero(follows)
+        while len(again := later[(end[:, later - 1] != begin[:, later]).any(axis=0)]):
+            begin[:, again] = end[:, again - 1]
+            end[:, again], found[:, again] = self._run([pieces[k] for k in again.tolist()], begin[:, again])
+        for k in range(len(self.langs)):
+            counts[k] = np.bincount(who, weights=found[k], minlength=len(texts))
+        chars[:] = np.bincount(who, weights=size, minlength=len(texts))
+        return counts, chars
+
+    def _run(self, pieces: list[np.ndarray], begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The state after each piece, by language, and the phrases that begin in it."""
+        if not pieces:
+            return begin, np.zeros_like(begin)
         size = np.array([len(p) for p in pieces])
         order = np.argsort(-size, kind="stable")
-        size, who = size[order], np.array(owner)[order]
+        size = size[order]
         grid = np.zeros((int(size[0]), len(pieces)), dtype=self.code.dtype)
-        for col, k in enumerate(order):
+        for col, k in enumerate(order.tolist()):
             grid[: size[col], col] = pieces[k]
         live = np.searchsorted(-size, -np.arange(len(grid)), side="left")
-        state = np.repeat(self.before, len(pieces), axis=1)
+        state = begin[:, order]
         found = np.zeros(state.shape, dtype=np.int32)
-        for row, n in zip(grid, live, strict=True):
+        for row, n in zip(grid, live.tolist(), strict=True):
             got = self.table[state[:, :n] * self.width + row[:n]]
             found[:, :n] += got & 1
             state[:, :n] = got >> 1
-        for k in range(len(self.langs)):
-            counts[k] = np.bincount(who, weights=found[k], minlength=len(texts))
-        chars[:] = np.bincount(who, weights=size, minlength=len(texts))
-        return counts, chars
+        back = np.argsort(order)
+        return state[:, back], found[:, back]
 
     def letters(self, text: str) -> np.ndarray:
         """Codes of :meth:`plain` of the text."""
@@ -193,7 +211,7 @@ def fit(docs: DataFrame, folds: int = FOLDS, held: int = HELD) -> dict[str, str]
 _parsers: dict[str, Parser] = {}
 
 
-def identify(docs: DataFrame, texts: dict[str, str], keep: list[str] | None = None, fits: bool = False) -> DataFrame:
+def identify(docs: DataFrame, texts: dict[str, str], keep: list[str] | None = None, fits: bool = False, text: str = "text") -> DataFrame:
     """Add ``lang_pred`` and ``score`` to every row, and with ``fits`` whether the text fits that language (:meth:`Parser.judge`).
 
     A null text, or one without letters, gives ``und`` and 0. Whole texts are
@@ -216,4 +234,4 @@ def identify(docs: DataFrame, texts: dict[str, str], keep: list[str] | None = No
 
         return each
 
-    return common.map_text(docs, start, {"lang_pred": "string", "score": "double"} | ({"fits": "boolean"} if fits else {}), keep)
+    return common.map_text(docs, start, {"lang_pred": "string", "score": "double"} | ({"fits": "boolean"} if fits else {}), keep, text)

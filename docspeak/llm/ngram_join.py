@@ -293,7 +293,6 @@ def classes(docs: DataFrame) -> DataFrame:
     Unlike ``class_id``, which is null where no row of a class has an id, a label is never null.
     ``least_id`` is the least id of the rows with that text.
     """
-    common.small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     nodes = common.saved(nodes_of(docs), "nodes")
     near = components(_candidates(nodes), "candidates")

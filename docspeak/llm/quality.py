@@ -165,8 +165,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = HELD
     return train(rows, totals)
 
 
-def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
-    """Add ``score`` and ``predicted`` (1 from ``threshold`` on) to every row.
+def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep: list[str] | None = None, text: str = "text") -> DataFrame:
+    """Add ``score`` and ``predicted`` (1 from ``threshold`` on) of column ``text`` to every row.
 
     Null and empty texts are the zero vector, scored like any other. Labels of
     one class only, or too few, give every row their share. Repeated rows get
@@ -183,4 +183,4 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep: lis
 
         return each
 
-    return common.map_text(docs, start, {"score": "double", "predicted": "int"}, keep)
+    return common.map_text(docs, start, {"score": "double", "predicted": "int"}, keep, text)

@@ -19,14 +19,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE round trip of every whole text."""
     import public_tokenizers
 
-    common.small_batches(spark)
     docs = _table(spark, sf_dir, "documents")
     return bpe.round_trip(docs, bpe.read_ranks(public_tokenizers.path(RANKS)), public_tokenizers.PATTERN, keep=["doc_id"])
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every whole text."""
-    common.small_batches(spark)
     docs = _table(spark, sf_dir, "documents")
     model = quality.fit(docs, _table(spark, sf_dir, "labels"))
     out = quality.score(docs.select("doc_id", "text"), model, keep=["doc_id"])
@@ -40,7 +38,6 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text."""
-    common.small_batches(spark)
     docs = _table(spark, sf_dir, "documents")
     out = language_id.identify(docs.select("doc_id", "text"), language_id.fit(docs), keep=["doc_id"])
     return out.select("doc_id", (common.fold("doc_id", language_id.FOLDS) == language_id.HELD).alias("held_out"), "lang_pred", "score")
@@ -53,7 +50,6 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page through ARC and WARC archives."""
-    common.small_batches(spark)
     return warc.archive(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
@@ -64,7 +60,6 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every whole text."""
-    common.small_batches(spark)
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
     out = toxicity.score(docs.select("doc_id", "text"), model, keep=["doc_id"])
@@ -79,7 +74,6 @@ def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text stored as a JPEG file and read back."""
-    common.small_batches(spark)
     stored = media.store_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     return media.read_media(stored, keep=["doc_id", "n_bytes"])
 

@@ -84,7 +84,7 @@ def stretches(words: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np
 
 def _anchor_rows(rows: DataFrame, window: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.small(batches):
             out = []
             for u, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 buf, s, e = split(text)
@@ -101,7 +101,7 @@ def _suffix_rows(texts: DataFrame, places: DataFrame, window: int, gram: int) ->
     """The stretches of windows that share a repeated anchor, as text from the first to the last of their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.small(batches):
             rows: list[tuple] = []
             columns = [batch.column(i).to_pylist() for i in range(5)]
             for u, u2, text, cool, hot in zip(*columns, strict=True):
@@ -132,7 +132,7 @@ def _hot_rows(suffixes: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("p", pa.int32()), ("n", pa.int32())]))
-        for batch in batches:
+        for batch in common.small(batches):
             for d, times, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 buf = np.frombuffer(words, np.uint8)
                 h = span_hashes(buf, *word_spans(buf))
@@ -256,7 +256,6 @@ def _tree_rows(suffixes: DataFrame, parts: int, window: int) -> DataFrame:
 def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """``u, u2, spans, copied``: for each text's key, the stretches of repeated windows (first window, how many), and whether all are."""
     spark = docs.sparkSession
-    common.small_batches(spark)
     copied = common.saved(copies(docs), "copies")
     texts = one_each(docs, copied)
     every = common.saved(_anchor_rows(texts, window, gram), "anchors")
@@ -312,7 +311,7 @@ def deduplicate(docs: DataFrame, keep: list[str] | None = None, window: int = WI
     rows = rows.join(spans, ["__u", "__u2"], "left").select(*names, F.col("text").alias("__text"), "__spans", "__copied")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.small(batches):
             got = [kept_words(*row, window) for row in zip(*(batch.column(len(names) + k).to_pylist() for k in range(3)), strict=True)]
             out = [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([hashlib.sha256(g[2]).hexdigest() for g in got], pa.string())]
             if texts:

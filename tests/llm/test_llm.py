@@ -11,7 +11,7 @@ import public_tokenizers as P
 import tiktoken
 from pyspark.sql import functions as F
 
-from docspeak.llm import bpe, imatch, language_id, media, ngram_join, packing, quality, queries, substring_dedup, toxicity, warc
+from docspeak.llm import bpe, common, imatch, language_id, media, ngram_join, packing, quality, queries, substring_dedup, toxicity, warc
 from docspeak.llm.textvec import as_bytes, sliding_argmin, span_hashes, word_spans
 
 SF = "/root/testdata/sf0.01"
@@ -137,8 +137,11 @@ def test_language_of_long_or_missing_texts(spark, monkeypatch):
     assert texts["aa"] == "un texte utile un texte utile" and texts["bb"] == ("long words " * 3_000)[: language_id.FIT_CHARS]
 
 
-def test_phrases_by_brute_force():
-    text = "abracadabra banana band"
+@pytest.mark.parametrize("piece", [1024, 5, 1])
+def test_phrases_by_brute_force(monkeypatch, piece):
+    """Of a whole text, however it is cut into pieces."""
+    monkeypatch.setattr(language_id, "PIECE", piece)
+    text = "abracadabra banana bandana banana abracad bandana xyz bananabracadabra"
     parser = language_id.Parser({"a": "banana bandana", "b": "abracadabra"})
     counts, chars = parser.phrases([text])
     for k, lang in enumerate(parser.langs):
@@ -324,6 +327,40 @@ def test_pipeline_stages(spark, odd, empty):
     assert pipeline.near_duplicate_stage(spark, empty, SF).count() == pipeline.passage_stage(spark, empty, SF).count() == 0
 
 
+def test_pipeline_stages_leave_columns_alone(spark, odd, empty):
+    """Whatever columns are called, stages but the last return them as they were; all stand odd rows and an empty table."""
+    import corpus_pipeline as pipeline
+
+    clash = {"predicted": F.lit(7), "lang_pred": F.lit("xx"), "n_words": F.lit(8), "n_removed": F.lit(9), "kept_text": F.lit("k"), "fits": F.lit("f"), "node": F.lit("n"), "class_id": F.lit(3), "a.b": F.lit(4)}
+    docs = odd.withColumns(clash).withColumn("score", F.col("score") + 8)
+    rest = [c for c in docs.columns if c not in ("text", "n_chars", "lang")]
+    at = lambda r: tuple(r[c] for c in rest)
+    every = [at(r) for r in docs.collect()]
+    for name, stage in pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns, name
+        rows = [at(r) for r in got.collect()]
+        assert all(rows.count(r) <= every.count(r) for r in rows), name
+        none = stage(spark, empty, SF)
+        assert none.columns == empty.columns and none.count() == 0, name
+    assert len(rows) == len(every)
+    pieces = pipeline.packing_stage(spark, docs, SF).collect()
+    assert sum(r["n_bytes"] for r in pieces) == sum(len((r["text"] or "").encode()) for r in odd.collect())
+    assert pipeline.packing_stage(spark, empty, SF).count() == 0
+
+
+def test_scratch_folders(spark):
+    """What operators wrote goes when asked, but for what is kept."""
+    since = common.mark()
+    one, two = (common.saved(spark.range(k), "t") for k in (3, 4))
+    common.clean(spark, since, keep=two)
+    assert common.mark() == since + 1 and two.count() == 4
+    with pytest.raises(Exception):
+        spark.read.parquet(one.inputFiles()[0])
+    common.clean(spark, since)
+    assert common.mark() == since
+
+
 def test_pipeline_language_stage(spark):
     """Texts that fit no learned language go; clean and short ones stay."""
     import corpus_pipeline as pipeline
