@@ -295,6 +295,31 @@ def test_warc(spark):
         assert [(r.uri, r.payload) for r in warc.parse_arc(data)] == [("http://a%20b", b"x\n\ny")]
 
 
+def test_warc_files(spark):
+    """Ids are unique and the same in each run, revisits name a response that there is, each record is a member; long payloads, other columns."""
+    long, page = "z" * (5 << 20), "<p>" + "q" * 200
+    rows = [(1, "http://a", page, "extra"), (1, "http://a", page, "extra"), (2, "http://b", page, None), (3, "http://c", long, None), (4, "http://d", "after", None), (5, "http://e", long, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, payload_digest string").coalesce(1)
+    seen = []
+    for _ in range(2):
+        arc = warc.write_arc(df)
+        path = warc.to_warc(spark, arc, warc.revisits(warc.list_arc(spark, arc)))
+        files = [bytes(r["content"]) for r in spark.read.format("binaryFile").load(path).collect()]
+        fields = [f for c in files for f, _ in warc.parse_warc(warc.unpacked(c))]
+        ids = [f["warc-record-id"] for f in fields]
+        assert len(files) == 2 and len(ids) == len(set(ids)) == 8
+        # each record's member, and the empty one that the writer ends a file with
+        assert sum(c.count(b"\x1f\x8b\x08\x00\x00\x00\x00\x00") for c in files) == 8 + 2
+        kinds = {f["warc-record-id"]: f["warc-type"] for f in fields}
+        refers = [f["warc-refers-to"] for f in fields if f["warc-type"] == "revisit"]
+        assert len(refers) == 3 and all(kinds[i] == "response" for i in refers)
+        seen.append(sorted(ids))
+    assert seen[0] == seen[1]
+    got = sorted((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.archive(df).collect())
+    n, m = len(page), len(long)
+    assert got == [(1, "response", None, n), (1, "revisit", 1, n), (2, "revisit", 1, n), (3, "response", None, m), (4, "response", None, 5), (5, "revisit", 3, m)]
+
+
 def test_ngram_join(spark, odd, empty):
     base = words(80, 5)
     near = [" ".join([*base[:k], "zz", *base[k + 1 :]]) for k in (0, 79)]
