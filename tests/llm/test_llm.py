@@ -425,6 +425,78 @@ def test_imatch(spark, odd):
     assert imatch.compare_edits(odd, imatch.lexicon(odd)).count() == 13
 
 
+def brute_fingerprints(spark, texts, low=imatch.LOW, high=imatch.HIGH):
+    """Fingerprints by counting terms in Python; the term hashes alone are Spark's."""
+    import re
+
+    split = [{w for w in re.split(r"[\s!-/:-@\[-`{-~]+", t or "") if w} for t in texts]
+    vocabulary = sorted(set().union(*split))
+    if not vocabulary:
+        return [["_"] * imatch.SUBSETS for _ in texts]
+    rows = spark.createDataFrame([(w,) for w in vocabulary], "w string").select("w", F.xxhash64("w").alias("h")).collect()
+    h = {r["w"]: r["h"] for r in rows}
+    times = {w: sum(w in s for s in split) for w in vocabulary}
+    band = {w for w, k in times.items() if max(2.0, low * len(texts)) <= k <= max(2.0, high * len(texts))}
+    wanted = []
+    for s in split:
+        terms = sorted(h[w] for w in (s & band or s))
+        subsets = [[t for t in terms if not t & ((rate - 1) << ((5 * k + 3 * rate.bit_length()) % 57))] for rate in imatch.RATES for k in range(imatch.EACH)]
+        wanted.append([terms if not any(subsets) else x for x in subsets])
+    flat = spark.createDataFrame([(i, k, t) for i, x in enumerate(wanted) for k, t in enumerate(x)], "i int, k int, t array<bigint>")
+    got = {(r["i"], r["k"]): r["x"] for r in flat.select("i", "k", F.xxhash64("t", "k").alias("x")).collect()}
+    return [[f"{got[i, k] & ((1 << 31) - 1):x}" if t else "_" for k, t in enumerate(x)] for i, x in enumerate(wanted)]
+
+
+def brute_likeness(a, b):
+    both = [x == y for x, y in zip(a, b) if (x, y) != ("_", "_")]
+    return sum(both) / len(both) if both else 1.0
+
+
+@pytest.mark.parametrize("most", [imatch.MOST_TERMS, 3])
+def test_imatch_by_brute_force(spark, most):
+    """Lexicon, fingerprints and likeness, with the lexicon in the plan and joined; ids are spread unevenly."""
+    texts = [" ".join(words(3 + 5 * (k % 9), k // 2 if k % 4 else 7, 150)) + (", End." if k % 3 else "") for k in range(90)] + ["", None, "one", "Ünï cödé!"]
+    ids = [k if k % 5 else k * 10**15 for k in range(len(texts))]
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in imatch.compare_edits(df, imatch.lexicon(df), most, 10).collect()}
+    order = sorted(range(len(ids)), key=lambda k: -ids[k])
+    plain = [t or "" for t in texts]
+    follows = {k: order[(n + 1) % len(order)] for n, k in enumerate(order)}
+    edited = [t[: len(t) - len(t) // 2] + plain[follows[k]][: len(t) // 2] for k, t in enumerate(plain)]
+    fp = brute_fingerprints(spark, plain)
+    for k, i in enumerate(ids):
+        r = got[i]
+        assert r["edited_sha256"] == hashlib.sha256(edited[k].encode()).hexdigest()
+        assert r["fingerprint"].split("-") == fp[k]
+        assert np.isclose(r["near_next"], brute_likeness(fp[k], fp[follows[k]]))
+        assert np.isclose(r["near_edited"], brute_likeness(fp[k], r["edited_fingerprint"].split("-")))
+        if edited[k] == plain[k]:
+            assert r["edited_fingerprint"] == r["fingerprint"]
+
+
+def test_imatch_of_clustered_and_missing_ids(spark):
+    """An outlier, one id a thousand times, and thousands of equal rows without id: no group grows, and the order is that of the table."""
+    rows = [(k, f"text {k}") for k in range(1000)] + [(1 << 62, "far"), (-(1 << 63), "low")] + [(500, f"again {k}") for k in range(1000)] + [(None, "same")] * 2000 + [(None, f"other {k}") for k in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = imatch.with_heads(df, 100)
+    sizes = [r["count"] for r in got.where("again = 0").groupBy(*imatch.GROUP).count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) <= 350 and len(sizes) > 30
+    assert got.where("again = 1").count() == len(sizes)
+    key = lambda r: (*(r[c] for c in imatch.GROUP), r["again"], r["doc_id"] is None, -(r["doc_id"] or 0), r["th"])
+    line = [r["doc_id"] for r in sorted(got.where("again = 0").collect(), key=key)]
+    assert line == sorted((i for i, _ in rows if i is not None), reverse=True) + [None] * 2500
+    pairs = [(r["text"], r["n"]) for r in got.select("*", F.lead("text").over(imatch.Window.partitionBy(*imatch.GROUP).orderBy("again", F.col("doc_id").desc_nulls_last(), "th")).alias("n")).where("again = 0").collect()]
+    assert all(n is not None for _, n in pairs) and sorted(n for _, n in pairs) == sorted(t for _, t in rows)
+    assert ("text 999", "text 998") in pairs and ("far", "text 999") in pairs
+
+
+def test_imatch_of_an_empty_table(spark, empty):
+    assert imatch.compare_edits(empty, imatch.lexicon(empty)).count() == 0
+    clash = spark.createDataFrame([(1, "a b", 3, 4), (1, "a b", 3, 4)], "doc_id long, text string, th int, at int")
+    got = imatch.compare_edits(clash, imatch.lexicon(clash)).collect()
+    assert len(got) == 2 and all(r["near_next"] == 1 for r in got)
+
+
 def test_imatch_of_few_terms(spark):
     """Different texts of one term are told apart, and from the empty text, though no subset may hold the term."""
     df = spark.createDataFrame([*((k, f"term{k}") for k in range(60)), (60, ""), (61, None)], "doc_id long, text string")
