@@ -35,7 +35,9 @@ HASHES = BANDS * ROWS
 #: MinHash values compared at a time, and the posterior probability below which a pair goes.
 STEP, TOLERANCE = 16, 1e-6
 #: Nodes of a bucket or component that one task compares with each other or with as many others.
-BUCKET_BLOCK, BLOCK = 4096, 1024
+BUCKET_BLOCK, BLOCK = 1024, 512
+#: Bytes of texts hashed at once, and shingles whose orders are worked out at once.
+TEXT_BYTES, PART = 1 << 20, 4096
 #: Most nodes with a candidate that are sent to every executor to pick their texts.
 BROADCAST_NODES = 500_000
 _SEEDS = (mix(np.arange(1, HASHES + 1, dtype=U)) >> U(32)).astype(np.uint32) | np.uint32(1)
@@ -50,28 +52,65 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(gram_hashes(span_hashes(buf, s, e), min(SHINGLE, len(s))))
 
 
-def minhash(own: np.ndarray) -> np.ndarray:
-    """The least of the set's upper halves under each of ``HASHES`` orders, mixed."""
-    out, half = np.full(HASHES, 0xFFFFFFFF, np.uint32), (own >> U(32)).astype(np.uint32)
-    for k in range(0, len(half), 2048):
-        x = half[None, k : k + 2048] * _SEEDS[:, None]
-        x ^= x >> np.uint32(15)
-        np.minimum(out, x.min(axis=1), out=out)
+def minhash(own: np.ndarray, ends: np.ndarray | None = None) -> np.ndarray:
+    """The least of the set's upper halves under each of ``HASHES`` orders, mixed; repeats don't matter. With ``ends``, a row for each of the non-empty sets that end there."""
+    half = (own >> U(32)).astype(np.uint32)
+    ends = np.array([len(own)]) if ends is None else ends
+    begin = np.concatenate(([0], ends[:-1]))
+    out = np.full((len(ends), HASHES), 0xFFFFFFFF, np.uint32)
+    i = 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, begin[i] + PART, side="right")))
+        for k in range(int(begin[i]), int(ends[j - 1]), PART):  # several sets, or one in parts
+            x = half[None, k : min(k + PART, int(ends[j - 1]))] * _SEEDS[:, None]
+            x ^= x >> np.uint32(15)
+            if j == i + 1:
+                np.minimum(out[i], x.min(axis=1), out=out[i])
+            else:
+                out[i:j] = np.minimum.reduceat(x, begin[i:j] - begin[i], axis=1).T
+        i = j
     return mix(out.astype(U))
 
 
-def signature(values: np.ndarray) -> bytes:
+def signature(values: np.ndarray) -> np.ndarray:
     """The values' low bytes."""
-    return (values & U(255)).astype(np.uint8).tobytes()
+    return (values & U(255)).astype(np.uint8)
 
 
-def bands(values: np.ndarray) -> list[int]:
-    """A hash of each band, with the band's number in it."""
-    v = values.reshape(BANDS, ROWS)
-    out = np.arange(1, BANDS + 1, dtype=U)
+def bands(values: np.ndarray) -> np.ndarray:
+    """A hash of each band of each row, with the band's number in it."""
+    v = values.reshape(-1, BANDS, ROWS)
+    out = np.repeat(np.arange(1, BANDS + 1, dtype=U)[None], len(v), axis=0)
     for k in range(ROWS):
-        out = mix(out * U(0x9E3779B97F4A7C15) + v[:, k])
-    return out.view(np.int64).tolist()
+        out = mix(out * U(0x9E3779B97F4A7C15) + v[:, :, k])
+    return out.view(np.int64)
+
+
+def sketches(texts: list[str | None]) -> tuple[list[bytes | None], list[list[int] | None]]:
+    """Signature and bands of each whole text; none where there is no shingle. Many texts are hashed at once."""
+    data = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    sigs, keys = [None] * len(texts), [None] * len(texts)
+    size = np.cumsum([len(d) + 1 for d in data])
+    i = 0
+    while i < len(data):
+        j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + TEXT_BYTES, side="right")))
+        buf = np.frombuffer(b" ".join(data[i:j]), np.uint8)
+        s, e = word_spans(buf)
+        h = span_hashes(buf, s, e)
+        last = np.searchsorted(s, size[i:j] - (size[i - 1] if i else 0))  # words up to the end of each text
+        n = np.diff(last, prepend=0)
+        many = np.maximum(n - SHINGLE + 1, 0)
+        sets = gram_hashes(h, SHINGLE)[np.repeat(last - n, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)]
+        got = np.flatnonzero(many)
+        values = [minhash(sets, np.cumsum(many)[got])] if len(got) else []
+        few = np.flatnonzero((n > 0) & (many == 0))
+        values += [minhash(gram_hashes(h[last[k] - n[k] : last[k]], int(n[k]))) for k in few.tolist()]
+        if values:
+            rows = np.concatenate(values)
+            for at, sig, key in zip([*got.tolist(), *few.tolist()], signature(rows), bands(rows).tolist(), strict=True):
+                sigs[i + at], keys[i + at] = sig.tobytes(), key
+        i = j
+    return sigs, keys
 
 
 @lru_cache
@@ -161,12 +200,8 @@ def nodes_of(docs: DataFrame) -> DataFrame:
 
     def start():
         def each(batch: list) -> list[pa.Array]:
-            sets = [shingles(t) for t in batch]
-            values = [minhash(x) if len(x) else None for x in sets]
-            return [
-                pa.array([None if v is None else signature(v) for v in values], pa.binary()),
-                pa.array([None if v is None else bands(v) for v in values], pa.list_(pa.int64())),
-            ]
+            sigs, keys = sketches(batch)
+            return [pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
 
         return each
 
@@ -210,7 +245,7 @@ def exact_links(texts: list[str], weights: np.ndarray, side: np.ndarray) -> tupl
     """For each text the weight of its exact partners, and the least text it hangs together with."""
     sets = [shingles(t) for t in texts]
     size = np.array([len(x) for x in sets])
-    sigs = np.stack([np.frombuffer(signature(minhash(x)), np.uint8) for x in sets])
+    sigs = signature(minhash(np.concatenate(sets), np.cumsum(size)))
     flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
     owner = np.repeat(np.arange(len(sets)), size)
     order = np.argsort(flat, kind="stable")

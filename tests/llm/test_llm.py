@@ -335,6 +335,30 @@ def test_ngram_join(spark, odd, empty):
     assert ngram_join.join(empty).count() == 0
 
 
+def test_sketches_by_brute_force(monkeypatch):
+    """Texts hashed together have the sketches of texts hashed alone, and MinHash agrees as often as sets are alike."""
+    texts = [None, "", " ", "one", "a b c", "a b c d e", *(" ".join(words(7 * k, k)) for k in range(1, 40)), " ".join(words(9000, 1, 8000)), "tail of it"]
+    for size in (1 << 20, 300):
+        monkeypatch.setattr(ngram_join, "TEXT_BYTES", size)
+        sigs, keys = ngram_join.sketches(texts)
+        for t, sig, key in zip(texts, sigs, keys, strict=True):
+            own = ngram_join.shingles(t)
+            if not len(own):
+                assert sig is None and key is None
+                continue
+            half = [int(x) >> 32 for x in own]
+            order = [min((y := x * int(a) & 0xFFFFFFFF) ^ y >> 15 for x in half) for a in ngram_join._SEEDS]
+            values = ngram_join.mix(np.array(order, dtype=np.uint64))
+            assert sig == bytes(int(v) & 255 for v in values) and key == ngram_join.bands(values).tolist()[0]
+    r = np.random.default_rng(2)
+    alike = []
+    for _ in range(60):
+        a = r.integers(0, 1 << 63, 900).astype(np.uint64)
+        b = np.concatenate([a[:800], r.integers(0, 1 << 63, 100).astype(np.uint64)])
+        alike.append((ngram_join.minhash(a) == ngram_join.minhash(b)).mean())
+    assert abs(np.mean(alike) - 0.8) < 0.02
+
+
 def test_pipeline_stages(spark, odd, empty):
     """Near duplicates and passages on odd rows: one row of each group, rows without id stay, texts without repeats are unchanged."""
     import corpus_pipeline as pipeline
