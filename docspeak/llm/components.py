@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Parts that a node's edges are dealt into; a node has at most as many rows before its least neighbour is known.
+#: Parts that the rows of one key are dealt into; a key has at most as many rows when what holds for all of it is put together.
 SALTS = 32
 
 
@@ -22,8 +22,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     state, turn = None, 0
     while True:
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _with_least(both, True).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = _with_least(_tidy(large), False)
+        large = _with_least(both).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        small = _with_least(_tidy(large))
         # the least neighbour keeps the node, the others go to the least
         small = small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         turn += 1
@@ -37,13 +37,20 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
-def _with_least(edges: DataFrame, itself: bool) -> DataFrame:
-    """Add ``m``, the least ``b`` of each ``a`` (or ``a`` itself, if that is less). A node's edges are dealt by a salt, so no task has all of a hot one's."""
-    salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-    part = salted.groupBy("a", "salt").agg(F.min("b").alias("m"))
-    least = part.groupBy("a").agg(F.min("m").alias("m"), F.collect_list("salt").alias("salts"))
-    least = least.select("a", (F.least("a", "m") if itself else F.col("m")).alias("m"), F.explode("salts").alias("salt"))
-    return salted.join(least, ["a", "salt"]).drop("salt")
+def with_total(rows: DataFrame, key: str, by: str, part: Column, total: Column) -> DataFrame:
+    """Add an aggregate over each ``key``: ``part`` names it, of some of a key's rows, ``total`` puts those together.
+
+    Rows are dealt by a salt, from column ``by``, before and after, so no task has all rows of a hot key.
+    """
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy(key, "salt").agg(part)
+    known = parts.groupBy(key).agg(total, F.collect_list("salt").alias("salts")).withColumn("salt", F.explode("salts")).drop("salts")
+    return salted.join(known, [key, "salt"]).drop("salt")
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """Add ``m``, the least ``b`` of each ``a``."""
+    return with_total(edges, "a", "b", F.min("b").alias("m"), F.min("m").alias("m"))
 
 
 def _tidy(edges: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .components import components
+from .components import components, with_total
 from .textvec import U, as_bytes, gram_hashes, mix, span_hashes, word_spans
 
 SHINGLE = 5
@@ -296,8 +296,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame
             links, root = exact_links(table.column(6).to_pylist(), table.column(5).to_numpy(), _sides(table, 1, 2, 3))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(links, pa.int64()), pa.array([names[r] for r in root], pa.binary())], names=["node", "links", "root"])
 
-    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
-    members = labels.join(sizes, "label").join(nodes.select("node", "n"), "node")
+    members = with_total(labels, "label", "node", F.count("*").alias("size"), F.sum("size").alias("size")).join(nodes.select("node", "n"), "node")
     keys = F.xxhash64("label")
     members = members.select("node", "n", keys.alias("key"), F.explode(_blocks(F.col("size"), F.col("node"), BLOCK)).alias("s"))
     wanted = labels.select("node")
@@ -336,5 +335,5 @@ def classes(docs: DataFrame) -> DataFrame:
     counts = checked.groupBy("node").agg(F.sum("links").alias("links"))
     known = nodes.select("node", "n", "doc_id").join(linked, "node", "left").join(counts, "node", "left")
     known = known.select("node", "n", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).alias("links"), "doc_id")
-    least = known.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    return known.join(least, "label").select("node", F.col("doc_id").alias("least_id"), "label", "class_id", (F.col("links") + F.col("n") - 1).alias("links"))
+    known = with_total(known, "label", "node", F.min("doc_id").alias("class_id"), F.min("class_id").alias("class_id"))
+    return known.select("node", F.col("doc_id").alias("least_id"), "label", "class_id", (F.col("links") + F.col("n") - 1).alias("links"))
