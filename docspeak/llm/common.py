@@ -75,8 +75,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     shuffle files of what came before go.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
+    path, rows = scratch_path(spark, name), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(rows)
+    spark.conf.set(rows, BATCH_ROWS)  # for this write only
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(rows, was)
     out = spark.read.schema(df.schema).parquet(path)
     del df
     release(spark)

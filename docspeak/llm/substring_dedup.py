@@ -32,11 +32,11 @@ from .textvec import U, as_bytes, gram_hashes, mix, sliding_argmin, span_hashes,
 #: Words of a window, and of the prefixes that split the windows into groups.
 WINDOW, GRAM = 35, 16
 #: Occurrences of an anchor from which its group is split by prefixes of a whole window.
-HOT = 4000
+HOT = 500
 #: Parts that the rows of one stretch or window are dealt into when they are joined with what is known of it.
 SALTS = 32
 #: Words of suffixes that one tree building holds.
-TREE_WORDS = 1 << 20
+TREE_WORDS = 1 << 19
 
 
 def split(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,7 +133,7 @@ def _hot_rows(suffixes: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("p", pa.int32()), ("n", pa.int32())]))
         for batch in common.small(batches):
-            for d, times, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for d, times, words, home in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 buf = np.frombuffer(words, np.uint8)
                 h = span_hashes(buf, *word_spans(buf))
                 both = np.stack([gram_hashes(h, window).view(np.int64), gram_hashes(mix(h ^ U(0xA5A5A5A5A5A5A5A5)), window).view(np.int64)], axis=1)
@@ -144,8 +144,8 @@ def _hot_rows(suffixes: DataFrame, window: int) -> DataFrame:
                 for b, e in zip([0, *cut.tolist()], [*cut.tolist(), len(which)], strict=True):
                     spans[which[b]].append({"p": b, "n": e - b})
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([d] * len(own), pa.binary()), pa.array(np.full(len(own), times)), pa.array(times * np.bincount(which)), pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array(spans, kind)],
-                    names=["d", "times", "places", "one", "two", "at"],
+                    [pa.array([d] * len(own), pa.binary()), pa.array(np.full(len(own), times)), pa.array(times * np.bincount(which)), pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array(spans, kind), pa.array([home] * len(own), pa.int32())],
+                    names=["d", "times", "places", "one", "two", "at", "home"],
                 )
 
     rows = suffixes.where("hot").withColumns({"d": F.unhex(F.md5("words")), "salt": F.pmod(F.xxhash64("u", "p"), F.lit(SALTS)).cast("int")})
@@ -153,13 +153,14 @@ def _hot_rows(suffixes: DataFrame, window: int) -> DataFrame:
     kinds = parts.groupBy("d").agg(F.sum("times").alias("times"), F.first("words").alias("words"), F.collect_list("salt").alias("salts"))
     many = kinds.where(F.col("times") > 1).select("d", F.explode("salts").alias("salt"))
     several = rows.join(many, ["d", "salt"]).select("u", "u2", F.array(F.struct("p", "n")).alias("spans"))
-    each = kinds.select("d", "times", "words").mapInArrow(run, f"d binary, times long, places long, one long, two long, at array<{span}>")
+    kinds = kinds.select("d", "times", "words", F.get("salts", F.lit(0)).alias("home"))  # where the rows of a lone stretch are
+    each = kinds.mapInArrow(run, f"d binary, times long, places long, one long, two long, at array<{span}>, home int")
     each = each.withColumn("salt", F.pmod(F.xxhash64("d"), F.lit(SALTS)).cast("int"))
     twice = each.groupBy("one", "two", "salt").agg(F.sum("places").alias("places"))
     twice = twice.groupBy("one", "two").agg(F.sum("places").alias("places"), F.collect_list("salt").alias("salts")).where(F.col("places") > 1)
     twice = twice.select("one", "two", F.explode("salts").alias("salt"))
-    lone = each.where(F.col("times") == 1).join(twice, ["one", "two", "salt"]).groupBy("d").agg(F.flatten(F.collect_list("at")).alias("at"))
-    found = rows.select("d", "u", "u2", "p").join(lone, "d")
+    lone = each.where(F.col("times") == 1).join(twice, ["one", "two", "salt"]).groupBy("d", F.col("home").alias("salt")).agg(F.flatten(F.collect_list("at")).alias("at"))
+    found = rows.select("d", "salt", "u", "u2", "p").join(lone, ["d", "salt"])
     moved = F.transform("at", lambda x: F.struct((x["p"] + F.col("p")).alias("p"), x["n"].alias("n")))
     return several.unionByName(found.select("u", "u2", moved.alias("spans")))
 
@@ -175,35 +176,34 @@ def subtrees(groups: np.ndarray, words: list[bytes], counts: np.ndarray, window:
     s, e = word_spans(buf)
     per = counts + window - 1
     first = np.cumsum(per) - per
-    rank = np.unique(span_hashes(buf, s, e), return_inverse=True)[1]
+    rank = np.unique(span_hashes(buf, s, e), return_inverse=True)[1].astype(np.int32)
     n, levels, size = len(rank), {1: rank}, 1
 
     def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.unique(a.astype(np.int64) * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1]
+        return np.unique(a.astype(np.int64) * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1].astype(np.int32)
 
     while size * 2 <= window:
         half = levels[size]
-        right = np.zeros(n, np.int64)
+        right = np.zeros(n, np.int32)
         right[: n - size] = half[size:] + 1  # ranks of runs that go on past their row are never used
         size *= 2
         levels[size] = pair(half, right)
-    starts = np.repeat(first, counts) + np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-    group = np.unique(groups, return_inverse=True)[1][np.repeat(np.arange(len(words)), counts)]
-    key, at, rest = group.astype(np.int64), starts.copy(), window
+    starts = (np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))).astype(np.int32)
+    group = np.repeat(np.unique(groups, return_inverse=True)[1].astype(np.int32), counts)
+    key, at, rest = group, starts, window
     for size in sorted(levels, reverse=True):
         while rest >= size:
             key = pair(key, levels[size][at])
             at, rest = at + size, rest - size
     order = np.argsort(key, kind="stable")
     one, two = starts[order[:-1]], starts[order[1:]]
-    depth, rest = np.zeros(len(order), np.int64), np.full(max(0, len(order) - 1), window)
+    depth, rest = np.zeros(len(order), np.int32), np.full(max(0, len(order) - 1), window, np.int32)
     same = group[order[:-1]] == group[order[1:]]
     for size in sorted(levels, reverse=True):
-        for _ in range(-(-window // size) if size == max(levels) else 1):
-            go = same & (rest >= size)
-            go[go] = levels[size][one[go]] == levels[size][two[go]]
-            step = np.where(go, size, 0)
-            one, two, rest = one + step, two + step, rest - step
+        go = same & (rest >= size)
+        go[go] = levels[size][one[go]] == levels[size][two[go]]
+        step = np.where(go, np.int32(size), np.int32(0))
+        one, two, rest = one + step, two + step, rest - step
     depth[1:] = np.where(same, window - rest, 0)
     return order, depth
 
