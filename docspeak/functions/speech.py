@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,8 +17,7 @@ FRAME_RATE = 24_000
 
 def units(text: Column) -> Column:
     """Broken words, dimensions, scores, tolerances."""
-    text = R.replace(text, r"(\w+)-\s*\n\s*(\w+)", "$1$2")
-    return R.replace(text, r"(\d+)\s*[×xX]\s*(\d+)", "$1 by $2")
+    return R.replace(R.replace(text, R.BROKEN_LINE, "$1$2"), R.DIMENSIONS, "$1 by $2")
 
 
 def operators(text: Column, pattern: str, by: str) -> Column:
@@ -29,30 +29,38 @@ def operators(text: Column, pattern: str, by: str) -> Column:
 
 
 def p_values(text: Column) -> Column:
-    return operators(text, r"\bp\s*(?<OP>[<>≤≥])\s*(?<n>[\d.]+)", "p OP ${n}")
+    return operators(text, R.P_VALUE, "p OP ${n}")
 
 
 def comparisons(text: Column) -> Column:
-    return operators(text, r"(?<a>\d+(?:\.\d+)?)\s*(?<OP>[≤≥><])\s*(?<b>\d+(?:\.\d+)?)", "${a} OP ${b}")
+    return operators(text, R.COMPARISON, "${a} OP ${b}")
 
 
 def abbreviations(text: Column) -> Column:
-    for key in sorted(R.ABBREVIATIONS, key=len, reverse=True):
-        if R.ABBREVIATIONS[key] != key:
-            text = R.replace(text, rf"\b{re.escape(key)}(?=[\s,.:;!?)\]\-]|\z|\n\z)", R.ABBREVIATIONS[key])
-    return text
+    """One pass marks every abbreviation, the longest that fits first; what stands between marks is looked up."""
+    longest = sorted(R.ABBREVIATIONS, key=len, reverse=True)
+    known = F.create_map(*(F.lit(x) for pair in R.ABBREVIATIONS.items() for x in pair))
+    marked = R.replace(text, rf"\b(?:{'|'.join(map(re.escape, longest))}){R.ABBREVIATION_END}", "\ue002$0\ue002")
+    return F.array_join(F.transform(F.split(marked, "\ue002"), lambda w, i: F.when(i % 2 == 1, F.element_at(known, w)).otherwise(w)), "")
+
+
+def percent(text: Column) -> Column:
+    return R.replace(text, R.PERCENT, "$1 percent")
 
 
 def verbalize(text: Column) -> Column:
     """All expansions in their fixed order; an empty text stays empty, a null one null."""
-    text = p_values(units(text))
-    text = R.replace(text, r"\bF(\d)[-\s]?score", r"F$1 score", True)
-    text = R.replace(text, r"(\d+(?:\.\d+)?)\s*[±]\s*(\d+(?:\.\d+)?)", "$1 plus or minus $2")
-    text = R.replace(comparisons(text), r"(\d+(?:\.\d+)?)\s*%", "$1 percent")
-    text = R.replace(abbreviations(text), r"(\w)\s*[–—]\s*(\w)", "$1, $2")
+    text = R.replace(p_values(units(text)), R.F_SCORE, r"F$1 score", True)
+    text = percent(comparisons(R.replace(text, R.PLUS_MINUS, "$1 plus or minus $2")))
+    text = R.replace(abbreviations(text), R.DASHES, "$1, $2")
     return R.strip(F.regexp_replace(text, r"[ \t]{2,}", " "))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _empty(of: str = "array<string>") -> Column:
     return F.array().cast(of)
 
@@ -75,7 +83,7 @@ def merge_parts(parts: Column) -> Column:
 
 
 def ends_sentence(text: Column) -> Column:
-    return R.matches(text, r"[.?!][)\]}'\"]*\z")
+    return R.matches(text, R.SENTENCE_END)
 
 
 def short_heading(text: Column) -> Column:
@@ -98,16 +106,22 @@ def _pack(pieces: Column, limit: int) -> Column:
 
 def long_sentence(sentence: Column, limit: int) -> Column:
     """Pieces of a sentence that is too long: after commas, and a last one that is still too long by words."""
-    packed = _pack(F.split(sentence, R.java(r"(?<=[,;:])\s+")), limit)
-    last = F.element_at(packed, -1)
-    words = _pack(F.filter(F.split(last, R.java(r"\s+")), lambda w: w != ""), limit)
-    return F.when(F.length(last) > limit, F.concat(F.slice(packed, F.lit(1), F.size(packed) - 1), words)).otherwise(packed)
+
+    def last_by_words(packed: Column) -> Column:
+        last = F.element_at(packed, -1)
+        words = _pack(F.filter(F.split(last, R.java(r"\s+")), lambda w: w != ""), limit)
+        return F.when(F.length(last) > limit, F.concat(F.slice(packed, F.lit(1), F.size(packed) - 1), words)).otherwise(packed)
+
+    return once(_pack(F.split(sentence, R.java(R.CLAUSE_BREAK)), limit), last_by_words)
 
 
 def chunks(text: Column, limit: int = 900) -> Column:
     """Ordered chunks of at most ``limit`` characters, but for a long sentence that meets a begun chunk."""
-    whole = merge_parts(F.array(F.coalesce(text, F.lit(""))))
-    sentences = F.filter(F.transform(F.split(whole, R.java(r"(?<=[.!?])\s+(?=[A-ZÀ-Ý0-9])")), R.strip), lambda s: s != "")
+    return once(merge_parts(F.array(F.coalesce(text, F.lit("")))), lambda whole: F.when(F.length(whole) <= limit, F.array(whole)).otherwise(_by_sentences(whole, limit)))
+
+
+def _by_sentences(whole: Column, limit: int) -> Column:
+    sentences = F.filter(F.transform(F.split(whole, R.java(R.SENTENCE_BREAK)), R.strip), lambda s: s != "")
     start = F.struct(_empty().alias("done"), F.lit("").alias("now"))
 
     def add(acc: Column, s: Column) -> Column:
@@ -117,8 +131,7 @@ def chunks(text: Column, limit: int = 900) -> Column:
         done = F.when(cut, F.concat(acc["done"], F.array(acc["now"]))).when(long, F.concat(acc["done"], long_sentence(s, limit))).otherwise(acc["done"])
         return F.struct(done.alias("done"), F.when(cut, s).when(long, F.lit("")).otherwise(both).alias("now"))
 
-    packed = F.aggregate(sentences, start, add, lambda acc: F.when(acc["now"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"]))))
-    return F.when(F.length(whole) <= limit, F.array(whole)).otherwise(packed)
+    return F.aggregate(sentences, start, add, lambda acc: F.when(acc["now"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"]))))
 
 
 def pause(chunk: Column, engine: str, default: int = 350) -> Column:

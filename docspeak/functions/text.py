@@ -22,7 +22,7 @@ def _nfkc(text: pd.Series) -> pd.Series:
 
 
 def nfkc(text: Column) -> Column:
-    """Compatibility normalisation; only texts that it can change are sent to Python."""
+    """Compatibility normalisation; Python gets only texts that it can change, and nulls for the others."""
     return F.coalesce(_nfkc(F.when(~text.rlike(PLAIN), text)), text)
 
 
@@ -30,8 +30,8 @@ def tidy(text: Column, strict: bool = True) -> Column:
     """Soft hyphens, hard spaces, broken words, drop capitals, bullets, runs of spaces, in this order."""
     text = F.replace(F.replace(text, F.lit("­"), F.lit("")), F.lit(" "), F.lit(" "))
     if strict:
-        text = R.replace(text, r"(?<=\w)-\s+(?=\w)", "")
-        text = R.replace(text, r"^([A-Z])\s+(?=[a-z]{2,}\b)", "$1")
+        text = R.replace(text, R.HYPHENATED, "")
+        text = R.replace(text, R.DROP_CAPITAL, "$1")
     else:  # suspended hyphens and one-letter words stay
         text = R.replace(text, r"(?<=\w)-\s+(?!(?:and|or|und|oder|et|ou|y|e)\b)(?=\w)", "")
         text = R.replace(text, r"^([B-HJ-Z])\s+(?=[a-z]{2,}\b)", "$1")

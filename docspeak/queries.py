@@ -131,7 +131,7 @@ def language_fallback(spark, sf_dir):
 
 
 def verbalize_units(spark, sf_dir):
-    return seeded(spark, sf_dir).select("doc_id", "seq", R.replace(speech.units(F.col("text")), r"(\d+(?:\.\d+)?)\s*%", "$1 percent").alias("spoken"))
+    return seeded(spark, sf_dir).select("doc_id", "seq", speech.percent(speech.units(F.col("text"))).alias("spoken"))
 
 
 def verbalize_operators(spark, sf_dir):
