@@ -134,7 +134,7 @@ def _by_sentences(whole: Column, limit: int) -> Column:
     return F.aggregate(sentences, start, add, lambda acc: F.when(acc["now"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"]))))
 
 
-def pause(chunk: Column, engine: str, default: int = 350) -> Column:
+def pause(chunk: Column, engine: str, default: int = 220) -> Column:
     """Milliseconds of silence after a chunk, by its last character."""
     stop, comma, other = PAUSES[engine]
     last = F.right(R.replace(chunk, r"\s+$", ""), F.lit(1))
@@ -146,11 +146,11 @@ def silence_frames(ms: Column, rate: int = FRAME_RATE) -> Column:
 
 
 def length_scale(rate: Column) -> Column:
-    return F.bround(F.lit(1.0e0) / F.least(F.greatest(rate, F.lit(0.7e0)), F.lit(1.4e0)), 3)
+    return F.when(rate.isNotNull(), F.bround(F.lit(1.0e0) / F.least(F.greatest(rate, F.lit(0.7e0)), F.lit(1.4e0)), 3))
 
 
 def kokoro_speed(rate: Column) -> Column:
-    return F.least(F.greatest(rate, F.lit(0.5e0)), F.lit(2.0e0))
+    return F.when(rate.isNotNull(), F.least(F.greatest(rate, F.lit(0.5e0)), F.lit(2.0e0)))
 
 
 def chunk_limit(limit: int, engine: str) -> int:

@@ -64,9 +64,30 @@ def dropped(rows: DataFrame, labels: bool) -> DataFrame:
     return found.groupBy("doc_id", "reason").agg(F.count("*").alias("n"))
 
 
-def cleaned(rows: DataFrame, order: str = "seq") -> DataFrame:
-    """``doc_id, text, language``: the kept parts of each document merged into paragraphs."""
+def _counts(names: Column) -> Column:
+    """How often each name occurs, as a map."""
+    return F.map_from_entries(F.transform(F.array_sort(F.array_distinct(names)), lambda k: F.struct(k, F.size(F.filter(names, lambda x: x == k)))))
+
+
+def documents(rows: DataFrame, order: str = "seq", also: dict[str, Column] | None = None) -> DataFrame:
+    """One row a document, after one aggregation: the kept parts as ``text``, its ``language``, counts, and drops by label and by rule.
+
+    ``also``: further aggregates of a document's rows, by name.
+    """
     part = F.when(F.col("reason").isNull(), F.struct(F.col(order).alias("at"), F.col("clean_text").alias("part")))
-    out = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
-    out = out.select("doc_id", speech.merge_parts(F.transform("parts", lambda p: p["part"])).alias("text"))
+    rule = F.col("reason").isNotNull() & (F.col("reason") != "heading_hidden") & ~by_label()
+    out = rows.groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(part)).alias("parts"), F.count("*").alias("total_blocks"), F.count_if(F.col("reason").isNull()).alias("kept_blocks"),
+        F.collect_list(F.when(by_label(), F.col("reason"))).alias("labels"), F.collect_list(F.when(rule, F.col("reason"))).alias("rules"),
+        *(v.alias(k) for k, v in (also or {}).items()),
+    )
+    out = out.select(
+        "doc_id", speech.merge_parts(F.transform("parts", lambda p: p["part"])).alias("text"), "total_blocks", "kept_blocks",
+        (F.col("total_blocks") - F.col("kept_blocks")).alias("dropped_blocks"), _counts(F.col("labels")).alias("dropped_by_label"), _counts(F.col("rules")).alias("dropped_by_rule"), *(also or {}),
+    )
     return out.withColumn("language", T.language(F.col("text")))
+
+
+def cleaned(rows: DataFrame, order: str = "seq") -> DataFrame:
+    """``doc_id, text, language``: the kept parts of each document merged into paragraphs."""
+    return documents(rows, order).select("doc_id", "text", "language")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 ACTIVE = ["pending", "running"]
 RECENT = 10
+SAFE = r"^[A-Za-z0-9][A-Za-z0-9_-]*$"
 
 
 def clamp(progress: Column) -> Column:
@@ -20,6 +21,26 @@ def latest(events: DataFrame) -> DataFrame:
     return rows.select("job_id", "created_at", "updated_at", F.col("s.status").alias("status"), clamp(F.col("s.progress")).alias("progress")).where("status <> 'deleted'")
 
 
+def changes(events: DataFrame, columns: list[str]) -> DataFrame:
+    """The state of each job from events whose null columns leave what was: for each column the last that isn't null."""
+    last = {c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("at", "event_id"))) for c in columns}
+    return events.groupBy("job_id").agg(F.min("at").alias("created_at"), F.max("at").alias("updated_at"), *(v.alias(c) for c, v in last.items()))
+
+
+def admitted(requests: DataFrame, jobs: DataFrame, most: int) -> DataFrame:
+    """Add ``admitted`` to ``request_id``: the first requests, in order, while fewer than ``most`` jobs run or wait."""
+    busy = jobs.agg(F.count_if(F.col("status").isin(ACTIVE)).alias("busy"))
+    first = requests.orderBy("request_id").limit(most).select("request_id").withColumn("n", F.row_number().over(Window.orderBy("request_id")))  # at most as many as there is room
+    taken = first.join(F.broadcast(busy), F.col("n") + F.col("busy") <= most).select("request_id", F.lit(True).alias("admitted"))
+    return requests.join(F.broadcast(taken), "request_id", "left").withColumn("admitted", F.coalesce("admitted", F.lit(False)))
+
+
+def artefacts(jobs: DataFrame, uploads: str, outputs: str) -> DataFrame:
+    """``job_id, folder``: what is deleted with a job; ids that aren't safe names have none."""
+    safe = jobs.where(F.col("job_id").rlike(SAFE))
+    return safe.select("job_id", F.explode(F.array(*(F.concat(F.lit(r.rstrip("/") + "/"), F.col("job_id")) for r in (uploads, outputs)))).alias("folder"))
+
+
 def recent(jobs: DataFrame, n: int = RECENT) -> DataFrame:
     return jobs.orderBy(F.desc("created_at"), "job_id").limit(n)
 
@@ -53,5 +74,5 @@ def restore_if_absent(known: DataFrame, found: DataFrame) -> DataFrame:
 def first_of_each(found: DataFrame) -> DataFrame:
     """One row a job id, that of the least path; ids that aren't safe names are left out."""
     one = Window.partitionBy("job_id").orderBy("path")
-    safe = found.where(F.col("job_id").rlike(r"^[A-Za-z0-9][A-Za-z0-9_-]*$"))
+    safe = found.where(F.col("job_id").rlike(SAFE))
     return safe.withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n")

@@ -16,9 +16,27 @@ def _box_y(height: Column) -> Column:
     return F.when(F.col("bbox").isNull(), F.lit(0.0e0)).when(F.col("bbox.t") <= F.col("bbox.b"), F.col("bbox.t")).otherwise(height - F.col("bbox.t"))
 
 
+def _by_page(rows: DataFrame, value: Column, name: str, most: bool = True) -> DataFrame:
+    """``doc_id`` and a map from page to the value, or to all of them, so that blocks dealt by document needn't move again."""
+    value = F.max(value) if most else F.collect_list(value)
+    pages = rows.where("page_no is not null").repartition("doc_id").groupBy("doc_id", "page_no").agg(value.alias("v"))
+    return pages.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("page_no", "v"))).alias(name))
+
+
+def with_sizes(blocks: DataFrame, pages: DataFrame) -> DataFrame:
+    """Add ``width`` and ``height`` of the block's page; null for pages without a positive size. Dealt by document."""
+    sizes = _by_page(pages.where("width > 0 and height > 0"), F.struct("width", "height"), "sizes")
+    rows = blocks.repartition("doc_id").join(sizes, "doc_id", "left").withColumn("size", F.expr("try_element_at(sizes, page_no)"))
+    return rows.select(*blocks.columns, "size.width", "size.height")
+
+
 def columns_of(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """``doc_id, page_no, cols``: centres of the text columns; null where there is one."""
-    rows = blocks.where("bbox is not null").join(pages.where("width > 0 and height > 0"), ["doc_id", "page_no"])
+    return _columns(with_sizes(blocks, pages))
+
+
+def _columns(sized: DataFrame) -> DataFrame:
+    rows = sized.where("bbox is not null and width is not null")
     rows = rows.select("doc_id", "page_no", "width", "seq", F.col("bbox.l").alias("l"), F.col("bbox.r").alias("r")).where((F.col("r") > F.col("l")) & (F.col("r") - F.col("l") < F.col("width") * NARROW))
     rows = rows.withColumn("mid", (F.col("l") + F.col("r")) / 2)
     place = Window.partitionBy("doc_id", "page_no").orderBy("mid", "seq")
@@ -46,8 +64,9 @@ def reading_order(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     The order on a page of columns is one sort key: blocks without box last, then the
     number of full-width blocks above, the column, the height, and the old place.
     """
-    sizes = pages.where("width > 0 and height > 0").select("doc_id", "page_no", "width", "height")
-    rows = blocks.join(sizes, ["doc_id", "page_no"], "left").join(columns_of(blocks, pages), ["doc_id", "page_no"], "left")
+    rows = with_sizes(blocks, pages)
+    cols = _columns(rows).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("page_no", "cols"))).alias("by_page"))
+    rows = rows.join(cols, "doc_id", "left").withColumn("cols", F.expr("try_element_at(by_page, page_no)"))
     page = Window.partitionBy("doc_id", "page_no")
     boxed = F.max(F.col("bbox").isNotNull()).over(page) & F.col("width").isNotNull()
     covered = F.size(F.filter("cols", lambda c: (c >= F.col("bbox.l") - SPAN_MARGIN) & (c <= F.col("bbox.r") + SPAN_MARGIN)))
@@ -69,11 +88,21 @@ def reading_order(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.withColumn("pos", F.row_number().over(order) - 1).select(*blocks.columns, "column", "is_span", "pos")
 
 
+def inside(blocks: DataFrame, regions: DataFrame, margin: float = MARGIN) -> DataFrame:
+    """Add ``inside``: whether a region of the block's page touches it or, for short title-case texts, comes near."""
+    body = R.strip(F.coalesce("text", F.lit("")))
+    m = F.lit(margin) + F.when((F.length(body) <= SHORT) & R.matches(body, R.TITLE_CASE), F.lit(NEAR)).otherwise(F.lit(0.0e0))
+    boxes = _by_page(regions, F.col("bbox"), "boxes", False)
+    rows = blocks.join(boxes, "doc_id", "left").withColumn("m", m)
+
+    def touches(x: Column) -> Column:
+        m = F.col("m")
+        return ~((F.col("bbox.r") <= x["l"] - m) | (x["r"] + m <= F.col("bbox.l")) | (F.col("bbox.b") <= x["t"] - m) | (x["b"] + m <= F.col("bbox.t")))
+
+    found = F.exists(F.expr("try_element_at(boxes, page_no)"), touches) & F.col("bbox").isNotNull()
+    return rows.withColumn("inside", F.coalesce(found, F.lit(False))).drop("boxes", "m")
+
+
 def drop_inside(blocks: DataFrame, regions: DataFrame, margin: float = MARGIN) -> DataFrame:
     """Blocks that no region of their page touches, nor, for short title-case ones, comes near."""
-    rows = blocks.withColumn("__near", F.when((F.length(R.strip(F.coalesce("text", F.lit("")))) <= SHORT) & R.matches(R.strip(F.coalesce("text", F.lit(""))), R.TITLE_CASE), F.lit(NEAR)).otherwise(F.lit(0.0e0)))
-    r = regions.select(F.col("doc_id").alias("rd"), F.col("page_no").alias("rp"), F.col("bbox").alias("rb"))
-    m = F.lit(margin) + F.col("__near")
-    apart = (F.col("bbox.r") <= F.col("rb.l") - m) | (F.col("rb.r") + m <= F.col("bbox.l")) | (F.col("bbox.b") <= F.col("rb.t") - m) | (F.col("rb.b") + m <= F.col("bbox.t"))
-    on = (F.col("doc_id") == F.col("rd")) & (F.col("page_no") == F.col("rp")) & F.col("bbox").isNotNull() & ~apart
-    return rows.join(r, on, "left_anti").drop("__near")
+    return inside(blocks, regions, margin).where("not inside").drop("inside")

@@ -49,6 +49,40 @@ def compatible(key: Column, engine: Column) -> Column:
     return F.coalesce(own == engine, F.lit(True))
 
 
+def for_choice(spark: SparkSession, language: str, engine: str | None) -> DataFrame:
+    """The voices offered for a language (``auto`` or one that isn't known: any) and an engine (none: any)."""
+    code = F.lower("language_code")
+    fits = code.startswith(language[:2].lower()) if language in ("pt-BR", "en") else F.lit(True)
+    return for_ui(spark).where(fits & (F.col("engine") == engine if engine else F.lit(True)))
+
+
+def _field(key: Column, name: str) -> Column:
+    pairs = [(v[0], v[COLUMNS.index(name)]) for v in VOICES]
+    return F.try_element_at(F.create_map(*(F.lit(x) for p in pairs for x in p)), key)
+
+
+def engine_of(key: Column) -> Column:
+    return _field(key, "engine")
+
+
+def record(key: Column) -> Column:
+    """What is written of a voice."""
+    return F.struct(key.alias("key"), *(_field(key, c).alias(c) for c in ("display_name", "language_code", "engine")))
+
+
+def kokoro_name(key: Column) -> Column:
+    """The engine's own name of a voice; its default of the language for one that has none."""
+    default = F.when(F.lower(_field(key, "language_code")).startswith("pt"), F.lit("pf_dora")).otherwise(F.lit("af_heart"))
+    return F.coalesce(_field(key, "kokoro_voice"), default)
+
+
+def addresses(spark: SparkSession, base: str, folder: str) -> DataFrame:
+    """``key`` and, for voices that are files, where their model and configuration come from and are kept."""
+    rows = voices(spark).where(F.col("model_filename").isNotNull())
+    names = {"model": "model_filename", "config": "config_filename"}
+    return rows.select("key", *(F.concat_ws("/", F.lit(base.rstrip("/")), "folder", c).alias(f"{k}_url") for k, c in names.items()), *(F.concat_ws("/", F.lit(folder.rstrip("/")), c).alias(f"{k}_path") for k, c in names.items()))
+
+
 def model_path(folder: Column, name: Column) -> Column:
     return F.concat_ws("/", folder, name)
 
