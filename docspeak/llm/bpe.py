@@ -7,8 +7,8 @@ leftmost pair of least rank, and contracts it; words without a pair drop out. Wh
 a query holds is bounded: words are grouped by the states that they can make, and a
 long word goes through several queries, whose steps contract many places at once.
 A word seen before in the worker is looked up, in a cache of bounded size that is
-emptied when full; the result doesn't depend on it. Decoding joins all ids of each
-text to the vocabulary and puts the bytes together by an ordered aggregation.
+emptied when full; the result doesn't depend on it. Decoding meets all ids of each
+text with the vocabulary and puts the bytes together by an ordered aggregation.
 """
 
 from __future__ import annotations
@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame
 from . import common
 
 #: Words of a query, and words and pieces kept between texts.
-QUERY_WORDS, KEPT_WORDS, KEPT_PIECES = 100_000, 600_000, 150_000
+QUERY_WORDS, KEPT_WORDS, KEPT_PIECES = 100_000, 800_000, 500_000
 #: Bytes from which a word is long, and states that the steps of one recursive query may make.
 LONG_BYTES, QUERY_STATES = 400, 4_000_000
 #: Ids that one query decodes.
 QUERY_IDS = 500_000
 _DOUBLE_SPACE = re.compile(r"\s\s")
+#: A single space between two signs begins a match of the pattern, whatever stands around it.
+_LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 #: Every state that a word passes through; the last step of each word is its coding.
 ENCODE = """
@@ -93,9 +95,10 @@ select w, pos, tok, step from state
 """
 LAST = "select c.w, c.pos, c.tok, c.step from coded c join (select w, max(step) as step from coded group by w) last on c.w = last.w and c.step = last.step order by c.w, c.pos"
 #: A byte is written as the character of that number, so the text's Latin-1 bytes are the result.
+#: Ids are put in order first, and looked up in the vocabulary as one list.
 DECODE = """
-select i.r, string_agg(v.piece, '' order by i.pos) as piece
-from ids_in i join vocabulary v on v.tok = i.tok group by i.r order by i.r
+select i.r, array_to_string(list_transform(i.toks, lambda t: v.pieces[t + 1]), '') as piece
+from (select r, list(tok order by pos) as toks from ids_in group by r) i, vocabulary v order by i.r
 """
 
 
@@ -123,7 +126,7 @@ class Codec:
         self.db.register("pairs_in", pairs)
         self.db.register("names_in", names)
         self.db.execute("create table merges as select * from pairs_in")
-        self.db.execute("create table vocabulary as select * from names_in")
+        self.db.execute("create table vocabulary as select list(piece order by n.tok) as pieces from range((select max(tok) + 1 from names_in)) n(tok) left join names_in using (tok)")
         self.db.unregister("pairs_in"), self.db.unregister("names_in")
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         self.decimal = np.array([str(i) for i in range(max(self.ranks.values()) + 1)], dtype=object)
@@ -208,30 +211,32 @@ class Codec:
             self.words[w] = names[at] if n == 1 else " ".join(names[at : at + n])
             at += n
 
-    def pieces_of(self, text: str) -> list[str]:
-        """Parts that the pattern never matches across: a single space begins a match whatever stands before it."""
-        if _DOUBLE_SPACE.search(text):
-            return self.pattern.findall(text)
-        head, *rest = text.split(" ")
-        out = [" " + p for p in rest]
-        return [head, *out] if head else out
-
     def codes(self, texts: list[str | None]) -> list[str]:
-        """The decimal ids of each whole text, joined by one space."""
-        cut = [self.pieces_of(t) if t else [] for t in texts]
+        """The decimal ids of each whole text, joined by one space.
+
+        A text is cut at single spaces, which the pattern never matches across: its first part, and parts that each
+        follow a space. Parts are looked up; for new ones, their words are.
+        """
+        cut = [(_LONE_SPACE.split(t) if _DOUBLE_SPACE.search(t) or t[-1] == " " or t[0] == " " else t.split(" ")) if t else [""] for t in texts]
+        heads = [c.pop(0) for c in cut]
         every = set().union(*cut)
-        new = list(every - self.pieces.keys())
+        new = list(every.difference(self.pieces))
         if len(self.pieces) + len(new) > KEPT_PIECES:
             self.pieces.clear()
             new = list(every)
         for k in range(0, len(new), QUERY_WORDS):
-            part = [self.pattern.findall(p) for p in new[k : k + QUERY_WORDS]]
-            self._learn(list(chain.from_iterable(part)))
-            words = self.words
-            for p, own in zip(new[k : k + QUERY_WORDS], part, strict=True):
-                self.pieces[p] = words[own[0]] if len(own) == 1 else " ".join([words[w] for w in own])
-        pieces = self.pieces
-        return [" ".join([pieces[p] for p in c]) for c in cut]
+            part = new[k : k + QUERY_WORDS]
+            for p, code in zip(part, self._coded([" " + p for p in part]), strict=True):
+                self.pieces[p] = code
+        first, get = self._coded(heads), self.pieces.__getitem__
+        return [" ".join([h, *map(get, c)] if h else map(get, c)) for h, c in zip(first, cut, strict=True)]
+
+    def _coded(self, parts: list[str]) -> list[str]:
+        """The ids of each part by itself."""
+        own = [self.pattern.findall(p) for p in parts]
+        self._learn(list(chain.from_iterable(own)))
+        get = self.words.__getitem__
+        return [get(o[0]) if len(o) == 1 else " ".join(map(get, o)) for o in own]
 
     def ids(self, codes: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of all codes one after the other, and how many each has."""
