@@ -29,6 +29,8 @@ from . import common
 
 #: Bytes of an archive before compression, about; payloads from this size on are deduplicated.
 ARCHIVE_BYTES, REVISIT_BYTES = 4 << 20, 100
+#: How hard records are compressed.
+LEVEL = 3
 ADDRESS, DATE = "0.0.0.0", "20200101000000"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 V1 = "URL IP-address Archive-date Content-type Archive-length"
@@ -168,7 +170,7 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def members(parts: list[bytes]) -> bytes:
     """Each part as a gzip member."""
-    return b"".join([zlib.compress(p, 6, 31) for p in parts])
+    return b"".join([zlib.compress(p, LEVEL, 31) for p in parts])
 
 
 def unpacked(content: bytes) -> bytes:
