@@ -32,7 +32,7 @@ from .textvec import U, as_bytes, gram_hashes, mix, sliding_argmin, span_hashes,
 #: Words of a window, and of the prefixes that split the windows into groups.
 WINDOW, GRAM = 35, 16
 #: Occurrences of an anchor from which its group is split by prefixes of a whole window.
-HOT = 500
+HOT = 2000
 #: Parts that the rows of one stretch or window are dealt into when they are joined with what is known of it.
 SALTS = 32
 #: Words of suffixes that one tree building holds.
@@ -131,7 +131,15 @@ def _hot_rows(suffixes: DataFrame, window: int) -> DataFrame:
     span = "struct<p:int,n:int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("p", pa.int32()), ("n", pa.int32())]))
+        kinds_ = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("p", pa.int32()), ("n", pa.int32())])), pa.int32())
+        held: list[list] = [[] for _ in kinds_]
+
+        def done() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(held, kinds_, strict=True)], names=["d", "times", "places", "one", "two", "at", "home"])
+            for c in held:
+                c.clear()
+            return out
+
         for batch in common.small(batches):
             for d, times, words, home in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 buf = np.frombuffer(words, np.uint8)
@@ -143,10 +151,13 @@ def _hot_rows(suffixes: DataFrame, window: int) -> DataFrame:
                 cut = np.flatnonzero(np.diff(which)) + 1  # a window that repeats itself at once is one span
                 for b, e in zip([0, *cut.tolist()], [*cut.tolist(), len(which)], strict=True):
                     spans[which[b]].append({"p": b, "n": e - b})
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([d] * len(own), pa.binary()), pa.array(np.full(len(own), times)), pa.array(times * np.bincount(which)), pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array(spans, kind), pa.array([home] * len(own), pa.int32())],
-                    names=["d", "times", "places", "one", "two", "at", "home"],
-                )
+                n = len(own)
+                for c, more in zip(held, ([d] * n, [times] * n, (times * np.bincount(which)).tolist(), own[:, 0].tolist(), own[:, 1].tolist(), spans, [home] * n), strict=True):
+                    c.extend(more)
+                if len(held[0]) >= 5000:
+                    yield done()
+        if held[0]:
+            yield done()
 
     rows = suffixes.where("hot").withColumns({"d": F.unhex(F.md5("words")), "salt": F.pmod(F.xxhash64("u", "p"), F.lit(SALTS)).cast("int")})
     parts = rows.groupBy("d", "salt").agg(F.count("*").alias("times"), F.first("words").alias("words"))
